@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import line_rules, quality_classifier, simhash, toxicity
+from quire.llm import langid, licenses, line_rules, minhash, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
 from quire.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the package that ships them is asked only when a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    with open(model_path or tokenizer_file("piece_bpe_32k.model"), "rb") as f:  # on the driver; broadcast from there
+        return sentencepiece_codec.coded(table(spark, sf_dir, "documents"), f.read())
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -28,11 +44,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path or tokenizer_file("word_bpe_49k.json"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_minhash": op2_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_line_rules": op4_line_rules,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
+    "op9_packing": op9_packing,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {"op4_line_rules": line_rules.REPORT_SQL}
