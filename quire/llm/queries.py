@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import langid, licenses, line_rules, minhash, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
+from quire.llm import html_crf, langid, licenses, line_rules, minhash, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
 from quire.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.learn(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_rules": op4_line_rules,
     "op5_simhash": op5_simhash,
+    "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_packing": op9_packing,
