@@ -40,7 +40,19 @@ def tokenizer(path: str) -> WordCache:
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    return WordCache(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)])
+    return WordCache(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], parts=letters_and_marks)
+
+
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def letters_and_marks(word: str) -> tuple[str, str] | None:
+    """A word of letters and the marks after it, which the tokenizer takes apart before it merges."""
+    if word[-1:] in MARKS and word:
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():
+            return letters, word[len(letters) :]
+    return None
 
 
 def split(text: str) -> list[str]:

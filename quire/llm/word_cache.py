@@ -9,10 +9,13 @@ import numpy as np
 
 
 class WordCache:
-    """ids of words from a growing table; the table is emptied when it holds ``most`` words, so memory is bounded."""
+    """ids of words from a growing table; the table is emptied when it holds ``most`` words (some 250 bytes each), so memory is bounded.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000):
-        self.encode, self.most = encode, most
+    ``parts`` may cut a word in two whose ids are those of its parts one after another.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_200_000, parts: Callable[[str], tuple[str, str] | None] | None = None):
+        self.encode, self.most, self.parts = encode, most, parts
         self.clear()
 
     def clear(self) -> None:
@@ -23,22 +26,33 @@ class WordCache:
         self.used = 0
 
     def add(self, words: list[str]) -> None:
-        n = len(self.at)
-        for w in words:
-            self.at[w] = n
-            n += 1
-        if n > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * n)
-            self.lengths = np.resize(self.lengths, 2 * n)
-        got = self.encode(words)
+        """Puts distinct new words into the table; those that ``parts`` cuts are joined from their parts' ids."""
+        cut = {w: p for w in words if (p := self.parts(w))} if self.parts else {}
+        plain = [w for w in words if w not in cut]
+        if cut:
+            at, own = self.at, set(plain)
+            plain += [w for w in dict.fromkeys(p for pair in cut.values() for p in pair) if w not in at and w not in own]
+        got = self.encode(plain)
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        total = int(lengths.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + total))
-        self.lengths[n - len(words) : n] = lengths
-        self.starts[n - len(words) : n] = self.used + np.cumsum(lengths) - lengths
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=total)
-        self.used += total
+        self._append(plain, lengths, np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(lengths.sum())))
+        if cut:
+            at, starts, size, pool = self.at, self.starts, self.lengths, self.pool
+            index = np.fromiter((at[p] for pair in cut.values() for p in pair), dtype=np.int64, count=2 * len(cut))
+            flat = _gather(pool, starts[index], size[index])
+            self._append(list(cut), size[index].reshape(-1, 2).sum(1), flat)
+
+    def _append(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        first, n = len(self.at), len(self.at) + len(words)
+        self.at.update(zip(words, range(first, n)))
+        if n > len(self.starts):
+            self.starts = np.resize(self.starts, 3 * n // 2)
+            self.lengths = np.resize(self.lengths, 3 * n // 2)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 3 * (self.used + len(ids)) // 2)
+        self.lengths[first:n] = lengths
+        self.starts[first:n] = self.used + np.cumsum(lengths) - lengths
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one entry more than texts)."""
@@ -56,7 +70,13 @@ class WordCache:
             index[unknown] = np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(total)]
+        flat = _gather(self.pool, self.starts[index], lengths)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, bounds
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of pool at starts, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
