@@ -15,6 +15,9 @@ judged one by one, so repeated rows repeat; an empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,76 +58,89 @@ def line_fails(line: Column, hinted: Column) -> Column:
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once. A lambda's variable is bound, while a column that a lambda names may be
+    replaced by its definition (as when a filter moves below a projection) and then computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+
+
+def _repeated(words: Column) -> Column:
+    """Words that stand in a five-word window found twice or more."""
+    hashes = F.when(
+        F.size(words) >= 5, F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(5))))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+    def covered(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return once(placed, lambda s: once(F.sort_array(F.transform(F.filter(s, lambda x, k: twin(s, x, k)), lambda x: x["i"])), span))
+
+    def twin(s: Column, x: Column, k: Column) -> Column:
+        """Whether a neighbour in the sorted order has the same hash (get() beyond the ends is null)."""
+        return F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+
+    def span(p: Column) -> Column:
+        """Each window counts its words up to the next window."""
+        own = F.transform(p, lambda x, k: F.least(F.lit(5), F.coalesce(F.get(p, k + 1) - x, F.lit(5))))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+    return once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(covered(h)))
+
+
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column ``__line_rules``: base counts, base_failed, kept, clean_text."""
+    """``__whole``, the row of docs as a struct, and ``__line_rules``: base counts, base_failed, kept, clean_text."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    step = docs.withColumn("__t", text)
-    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hinted = F.lit(False)
-    for hint in HINTS:
-        hinted = hinted | F.contains(F.col("__low"), F.lit(hint))
-    bare = F.btrim(F.col("__t"), F.lit(SPACES))
-    step = step.withColumn("__low", F.lower("__t"))
-    step = step.withColumns({"__h": hinted, "__l": lines, "__w": F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))})
-    grams = F.when(
-        F.size("__w") >= 5,
-        F.transform(F.sequence(F.lit(0), F.size("__w") - 5), lambda i: F.xxhash64(*(F.get(F.col("__w"), i + k) for k in range(5)))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumns({
-        "__g": grams,
-        "__c": F.array_join(F.filter("__l", lambda x: ~line_fails(x, F.col("__h"))), "\n"),
-    })
-    # transform(array(x), f)[0] binds x to a lambda variable, so it is computed once and not for every element.
-    covered = F.expr(
-        """
-        transform(array(sort_array(transform(__g, (h, i) -> struct(h AS h, i AS i)))), s ->
-          transform(array(sort_array(transform(
-              filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k < size(s) - 1 AND s[k + 1].h = x.h)), x -> x.i))), p ->
-            aggregate(transform(p, (x, k) -> CASE WHEN k = size(p) - 1 THEN 5 ELSE least(5, p[k + 1] - x) END), 0L, (a, x) -> a + x)
-          )[0]
-        )[0]
-        """
-    )
-    repeated = F.when(F.size(F.array_distinct("__g")) == F.size("__g"), F.lit(0).cast("long")).otherwise(covered)
-    step = step.withColumn(
-        "__b",
-        F.struct(
-            F.size("__w").cast("long").alias("n_words"),
-            F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-            _count(F.col("__t"), SYMBOLS).cast("long").alias("n_symbols"),
-            (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-            repeated.alias("n_repeat_words"),
-            (F.length("__c") - _count(F.col("__c"), SPACES)).cast("long").alias("clean_chars"),
-        ),
-    )
-    b = lambda name: F.col(f"__b.{name}")
-    failed = (b("n_words") < 10) | (100 * b("n_repeat_words") > 20 * b("n_words"))
-    verdict = ~failed & (b("clean_chars") >= (1 - LOSS) * b("word_chars"))
-    out = F.struct("__b.*", failed.alias("base_failed"), verdict.alias("kept"), F.col("__c").alias("clean_text"))
-    return step.withColumn(NEW, out).drop("__t", "__low", "__h", "__l", "__w", "__g", "__c", "__b")
+    step = docs.select(F.struct("*").alias("__whole"), text.alias("__t"))
+    t = F.col("__t")
+    hinted = once(F.lower(t), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS)))
+    long = lambda c: c.cast("bigint")
+
+    def of_lines(lines: Column) -> Column:
+        passed = once(hinted, lambda h: F.filter(lines, lambda x: ~line_fails(x, h)))
+        return F.struct(long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"), F.array_join(passed, "\n").alias("clean"))
+
+    def of_words(words: Column) -> Column:
+        return F.struct(long(F.size(words)).alias("n_words"), long(F.length(F.array_join(words, ""))).alias("word_chars"), _repeated(words).alias("n_repeat_words"))
+
+    def verdict(w: Column, x: Column) -> Column:
+        failed = (w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])
+        left = F.length(x["clean"]) - _count(x["clean"], SPACES)
+        return F.struct(
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), long(_count(t, SYMBOLS)).alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"),
+            w["n_repeat_words"].alias("n_repeat_words"), long(left).alias("clean_chars"), failed.alias("base_failed"),
+            (~failed & (left >= (1 - LOSS) * w["word_chars"])).alias("kept"), x["clean"].alias("clean_text"),
+        )
+
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = once(once(_words(t), of_words), lambda w: once(once(lines, of_lines), lambda x: verdict(w, x)))
+    return step.select("__whole", out.alias(NEW))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, the counts, base_failed and kept."""
     got = judged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return got.select("doc_id", *(F.col(f"{NEW}.{n}").alias(n) for n in names))
+    return got.select("__whole.doc_id", *(F.col(f"{NEW}.{n}").alias(n) for n in names))
 
 
 def _kept(docs: DataFrame) -> DataFrame:
     """Rows that are kept. The row number, which no optimizer rule moves a filter across, keeps the filter above the
-    projections: pushed below them it would compute a text's words anew for every window."""
-    return judged(docs).withColumn("__row", F.monotonically_increasing_id()).where(F.col(f"{NEW}.kept") & (F.col("__row") >= 0)).drop("__row")
+    projection: pushed below it, the verdict would be computed twice."""
+    return judged(docs).withColumn("__row", F.monotonically_increasing_id()).where(F.col(f"{NEW}.kept") & (F.col("__row") >= 0))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, every column as it is."""
-    return _kept(docs).drop(NEW)
+    return _kept(docs).select("__whole.*")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """As ``accepted``, with the text reduced to the lines that passed."""
-    return _kept(docs).withColumn("text", F.col(f"{NEW}.clean_text")).drop(NEW)
+    return _kept(docs).select(F.col("__whole").withField("text", F.col(f"{NEW}.clean_text")).alias("w")).select("w.*")
 
 
 #: The same result in DuckDB's SQL, for the check of op4.

@@ -100,4 +100,6 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> Da
             for part in common.slices(batch):
                 yield part.filter(pa.array(model.score(part.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Names by position meanwhile: mapInArrow cannot resolve names with dots in them.
+    names = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return names.mapInArrow(run, names.schema).toDF(*docs.columns)

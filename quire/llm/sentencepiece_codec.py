@@ -121,7 +121,7 @@ def rebuild(model: Model, normalised: bool = True):
     if normalised:
         steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
         if model.squeeze:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip(True, True)]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         steps += [normalizers.Replace(" ", MARK)]
         if model.dummy_prefix:
             steps += [normalizers.Prepend(MARK)]

@@ -138,7 +138,8 @@ def grouped(docs: DataFrame, width: int = 3, most: int = 2, segments: int = 5, p
 def one_of_each(docs: DataFrame, width: int = 3, most: int = 2, segments: int = 5) -> DataFrame:
     """docs without the documents whose group holds a smaller id; every column as it is.
 
-    Of rows that repeat an id one stays. A row without an id stays if no row of its group has one.
+    Of rows that repeat an id one stays. Of rows without an id and with one fingerprint one stays, if no row with an id
+    has that fingerprint.
     """
     prints = common.checkpointed(fingerprinted(docs, width))
     found = prints.join(classes_of(prints, most, segments), "fp", "left")
@@ -147,10 +148,11 @@ def one_of_each(docs: DataFrame, width: int = 3, most: int = 2, segments: int =
     again = prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():  # ids that repeat: one row of each stays
         named = named.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    if prints.where("doc_id IS NULL").limit(1).count():
-        with_id = prints.where("doc_id IS NOT NULL").select(F.col("fp").alias("__fp")).distinct()
-        keep = prints.where("doc_id IS NULL").select(F.col("fp").alias("__fp")).distinct().join(with_id, "__fp", "left_anti")
-        # A group without ids has no name to be found by; one row of each such text stays.
-        nameless = nameless.dropDuplicates(["text"]) if keep.limit(1).count() else nameless.limit(0)
-    return named.select(*docs.columns).union(nameless.select(*docs.columns))
+    if not prints.where("doc_id IS NULL").limit(1).count():
+        return named
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    nameless = docs.where("doc_id IS NULL").select(F.struct("*").alias("whole"), digest.alias("digest"))
+    of = fingerprinted(docs.where("doc_id IS NULL").select(digest.alias("doc_id"), "text"), width).distinct()
+    alone = of.join(prints.where("doc_id IS NOT NULL").select("fp").distinct(), "fp", "left_anti")
+    stay = alone.groupBy("fp").agg(F.min("doc_id").alias("digest")).select("digest").distinct()
+    return named.union(nameless.join(stay, "digest", "left_semi").dropDuplicates(["digest"]).select("whole.*"))
