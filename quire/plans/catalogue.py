@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.config import EXTRACTOR_VERSION, JOBS_KEPT, REFUSAL, UPLOAD_LIMIT
+from quire.config import EXTRACTOR_VERSION, JOBS_KEPT, UPLOAD_LIMIT
 from quire.functions import text as tx
 from quire.functions.identity import identity
-from quire.functions.vectors import fingerprint, hashing_embedder
-from quire.operators import answer, audit, chunking, keyword, library, pages, retrieve, structure
+from quire.operators import library, pages
+from quire.sources.files import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +36,13 @@ RECORDS = """SELECT source AS document, CAST(doc_id AS INT) AS page, CASE doc_id
   CAST(CASE WHEN doc_id % 12 = 0 THEN 2 ELSE 3 END AS INT) AS extractor_version, sha_of AS sha256 FROM """.replace("\\ufffd", "�")
 
 
+#: Tables whose rows are long enough that a task should not have many of them.
+LONG = ("documents", "pages", "conversations")
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name in LONG else read
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

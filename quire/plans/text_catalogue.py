@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quire.config import REFUSAL, Retrieval
 from quire.functions import text as tx
 from quire.functions.vectors import fingerprint, hashing_embedder
-from quire.operators import answer, audit, chunking, keyword, library, retrieve, structure
-from quire.plans.catalogue import LIBRARY, RECORDS_SQL, derived, query, records, t
+from quire.operators import answer, audit, chunking, keyword, retrieve, structure
+from quire.plans.catalogue import RECORDS_SQL, derived, query, records, t
 from quire.sources.files import markdown_of
 
 # Structure ----------------------------------------------------------------------------------------------------------
@@ -293,9 +293,7 @@ PHRASES_SQL = "SELECT item_id AS qid, replace(text, ' ', '-') AS question FROM (
 
 def searched(spark, d, questions, stem=False):
     chunks = chunk_rows(spark, d)
-    tokens = keyword.index(chunks)
-    n, mean = keyword.sizes(tokens, chunks)
-    return keyword.bm25(keyword.stemmed(tokens) if stem else tokens, questions, n, mean, stem=stem)
+    return keyword.bm25(keyword.index(chunks), keyword.lengths(chunks), questions, stem=stem)
 
 
 @query("bm25_topk", f"SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({BM25_SQL})")

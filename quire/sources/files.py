@@ -11,6 +11,13 @@ RECORD = (
 )
 
 
+def spread(df: DataFrame, least_gain: int = 2) -> DataFrame:
+    """df over all cores if its files make at most a ``least_gain``-th as many splits (a small file of one row group is
+    one task however many cores wait). Large inputs have more splits than cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * least_gain <= cores else df
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """name, sha256, length, content of every PDF below a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
