@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.files import spread
+
 #: Rows of one Arrow batch, and text bytes that a worker handles at once.
 BATCH_ROWS = 256
 CHUNK_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts whose small file is a single split is spread over all cores."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name in ("documents", "pages") else read
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -90,7 +93,3 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_
     )
     rows.sort(key=lambda r: (r.h, r.doc_id, r.text))
     return [(r.text, r.y) for r in rows]
-
-
-def spare_threads() -> int:
-    return max(1, int(os.environ.get("QUIRE_THREADS", "2")))
