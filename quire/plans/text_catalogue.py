@@ -240,7 +240,12 @@ def extraction_totals(spark, d):
     )
 
 
-@query("markdown_sink", None)
+@query(
+    "markdown_sink",
+    f"""SELECT document, sha256(concat('<!-- source: ', document, ' -->', chr(10), chr(10), string_agg(concat('<!-- page ', CAST(page AS VARCHAR), ' | digital | text layer -->', chr(10), chr(10),
+  CASE WHEN error <> '' THEN concat('> extraction failed: ', error) WHEN deferred THEN '> waits for OCR' WHEN trim(text) = '' THEN '> no text' ELSE text END), chr(10) || chr(10) ORDER BY page))) AS digest
+FROM ({RECORDS_SQL}) WHERE strategy <> 'skip' GROUP BY document""",
+)
 def markdown_sink(spark, d):
     r = records(spark, d).withColumns({"kind": F.lit("digital"), "engine": F.lit("text layer")})
     return markdown_of(r).select("document", F.sha2("markdown", 256).alias("digest"))
