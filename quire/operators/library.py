@@ -19,9 +19,14 @@ def copies(files: DataFrame, digest: str = "sha256", name: str = "name") -> Data
 
 
 def families(docs: DataFrame) -> DataFrame:
-    """Families of over one document, with their years newest first (unknown as 0, last)."""
-    years = F.sort_array(F.collect_list(F.coalesce("year", F.lit(0))), asc=False)
-    return docs.where("policy_family <> ''").groupBy("policy_family").agg(F.count("*").alias("n"), years.alias("years")).where("n > 1")
+    """Families of over one document, with their years newest first (unknown as 0, last), one per document.
+
+    Documents are counted per year before a family's few years meet.
+    """
+    per_year = docs.where("policy_family <> ''").groupBy("policy_family", F.coalesce("year", F.lit(0)).alias("year")).agg(F.count("*").cast("int").alias("k"))
+    listed = F.sort_array(F.collect_list(F.struct("year", "k")), asc=False)
+    years = F.flatten(F.transform(listed, lambda y: F.array_repeat(y["year"], y["k"])))
+    return per_year.groupBy("policy_family").agg(F.sum("k").alias("n"), years.alias("years")).where("n > 1")
 
 
 def other_vintage(docs: DataFrame) -> DataFrame:
