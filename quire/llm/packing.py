@@ -40,7 +40,12 @@ def tokenizer(path: str) -> WordCache:
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    return WordCache(lambda words: [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)], parts=letters_and_marks)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = made.encode(words, is_pretokenized=True, add_special_tokens=False)  # one call for all words
+        return np.array(got.ids, dtype=np.uint32), np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(words))
+
+    return WordCache(encode, parts=letters_and_marks)
 
 
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

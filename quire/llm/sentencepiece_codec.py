@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from quire.llm import common
-from quire.llm.word_cache import WordCache
+from quire.llm.word_cache import WordCache, flat
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -140,7 +140,7 @@ class Codec:
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.by_word = not model.charsmap and not model.squeeze and model.dummy_prefix and not any(kind == USER or inner.search(p) for p, _, kind in model.pieces)
         self.tokenizer = rebuild(model, not self.by_word)
-        self.cache = WordCache(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        self.cache = WordCache(lambda words: flat([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]))
         self.bytes = [self._surface(p, kind) for p, _, kind in model.pieces]
 
     @staticmethod
@@ -180,9 +180,9 @@ class Codec:
         import sentencepiece
 
         judge = sentencepiece.SentencePieceProcessor(model_proto=data)
-        flat, at = self.encode(texts)
+        ids, at = self.encode(texts)
         for k, text in enumerate(texts):
-            own = flat[at[k] : at[k + 1]].tolist()
+            own = ids[at[k] : at[k + 1]].tolist()
             if own != judge.encode(text):
                 raise AssertionError(f"ids differ for {text[:80]!r}")
             if self.decode(own) != judge.decode(own):
@@ -210,8 +210,8 @@ def coded(docs: DataFrame, model_file: bytes, threads: int = 2, with_ids: bool =
 
     def run(x: dict[str, list]) -> dict:
         c = codec(data.value, threads)
-        flat, at = c.encode(x["text"])
-        own = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+        every, at = c.encode(x["text"])
+        own = [every[a:b] for a, b in zip(at[:-1], at[1:])]
         out = {
             "doc_id": x["doc_id"],
             "n_tokens": np.diff(at),

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 
 
 class WordCache:
-    """ids of words from a growing table; the table is emptied when it holds ``most`` words (some 250 bytes each), so memory is bounded.
+    """ids of words from a growing table. Beyond ``most`` words (some 250 bytes each) it shrinks to its first ``keep``:
+    frequent words come early, and those that come late are mostly never seen again. So memory is bounded.
 
-    ``parts`` may cut a word in two whose ids are those of its parts one after another.
+    ``encode`` gives the ids of words one after another and how many each has. ``parts`` may cut a word in two whose ids are those of its parts one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_200_000, parts: Callable[[str], tuple[str, str] | None] | None = None):
-        self.encode, self.most, self.parts = encode, most, parts
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 900_000, keep: int = 550_000, parts: Callable[[str], tuple[str, str] | None] | None = None):
+        self.encode, self.most, self.keep, self.parts = encode, most, keep, parts
         self.clear()
 
+    def shrink(self) -> None:
+        self.at = dict(islice(self.at.items(), self.keep))
+        self.used = int(self.starts[self.keep])
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.starts = np.zeros(1024, dtype=np.int64)
@@ -32,9 +37,8 @@ class WordCache:
         if cut:
             at, own = self.at, set(plain)
             plain += [w for w in dict.fromkeys(p for pair in cut.values() for p in pair) if w not in at and w not in own]
-        got = self.encode(plain)
-        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        self._append(plain, lengths, np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(lengths.sum())))
+        ids, lengths = self.encode(plain)
+        self._append(plain, lengths, ids)
         if cut:
             at, starts, size, pool = self.at, self.starts, self.lengths, self.pool
             index = np.fromiter((at[p] for pair in cut.values() for p in pair), dtype=np.int64, count=2 * len(cut))
@@ -57,15 +61,14 @@ class WordCache:
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one entry more than texts)."""
         if len(self.at) > self.most:
-            self.clear()
+            self.shrink()
         at = self.at
         counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        total = int(counts.sum())
-        index = np.fromiter(map(at.get, chain.from_iterable(texts), repeat(-1)), dtype=np.int64, count=total)
+        line = list(chain.from_iterable(texts))
+        index = np.fromiter(map(at.get, line, repeat(-1)), dtype=np.int64, count=len(line))
         unknown = np.flatnonzero(index < 0)
         if len(unknown):
-            flat_words = list(chain.from_iterable(texts))
-            words = [flat_words[i] for i in unknown.tolist()]
+            words = [line[i] for i in unknown.tolist()]
             self.add(list(dict.fromkeys(words)))
             index[unknown] = np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))
         lengths = self.lengths[index]
@@ -75,8 +78,16 @@ class WordCache:
         return flat, bounds
 
 
+def flat(got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as ``encode`` gives them."""
+    lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+    return np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+
 def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of pool at starts, one after another."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    at = np.arange(total, dtype=np.int32)  # a pool has far under 2^31 ids
+    at += np.repeat((starts - (ends - lengths)).astype(np.int32), lengths)
+    return pool.take(at)

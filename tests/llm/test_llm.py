@@ -542,3 +542,21 @@ def test_held_out_is_crc32(spark):
 
     rows = spark.range(50).select("id", common.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+def test_word_table_shrinks_and_stays_right():
+    from quire.llm.word_cache import WordCache, flat
+
+    calls = []
+
+    def encode(words):
+        calls.extend(words)
+        return flat([[ord(c) for c in w] for w in words])
+
+    cache = WordCache(encode, most=6, keep=3, parts=lambda w: (w[:-1], w[-1]) if w.endswith(".") and len(w) > 1 else None)
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        texts = [["".join(rng.choice(list("abc."), size=rng.integers(0, 4))) for _ in range(rng.integers(0, 5))] for _ in range(3)]
+        ids, at = cache.ids(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[ord(c) for w in t for c in w] for t in texts]
+    assert len(calls) > 30
