@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows, clashing columns; plain versions beside the operators."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -12,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import common, compression, html_crf, langid, licenses, line_rules, minhash, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
+from quire.llm import common, compression, html_crf, langid, licenses, line_rules, minhash, near_copies, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
 from quire.llm.graph import components
 from quire.llm.queries import QUERIES, tokenizer_file
 
@@ -333,6 +334,45 @@ def test_one_of_each_group(docs):
     assert ids(kept) == Counter(groups) + Counter({None: 1})  # the nameless copy of a named text goes
 
 
+def test_near_copies_against_all_pairs(spark, docs, empty):
+    """Edited texts of all likenesses from 0.6 up, a chain whose ends are apart, and odd rows, beside plain sets."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = {}
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice((12, 60, 300)))]
+        for edits in (0, 1, 2, 4, 6):
+            now = list(base)
+            for k in rng.sample(range(len(base)), edits * len(base) // 300 if len(base) == 300 else edits % 3):
+                now[k] = word()
+            texts[len(texts)] = " ".join(now)
+    chain = [word() for _ in range(400)]
+    for step in range(8):
+        texts[len(texts)] = " ".join([*chain[step * 25 :], *(word() for _ in range(step * 25))])
+    texts |= {len(texts): "", len(texts) + 1: " \n", len(texts) + 2: "one two", len(texts) + 3: "One  two"}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in texts.items()}
+    group = {i: i for i in texts}
+    pairs = [(i, j) for i in texts for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 50
+    for _ in texts:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    got = near_copies.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5))
+    assert {r.doc_id for r in got.collect()} == set(group.values())
+    odd = near_copies.one_of_each(docs)
+    assert odd.columns == docs.columns and len({r.doc_id for r in odd.collect()}) == odd.where("doc_id IS NOT NULL").count() + odd.where("doc_id IS NULL").limit(1).count()
+    assert near_copies.one_of_each(empty).count() == 0
+
+
+def test_pipeline_drops_wide_near_copies(spark):
+    import corpus_pipeline
+
+    base = [f"word{k}" for k in range(200)]
+    rows = [(0, " ".join(base)), (1, " ".join(["new" if k in (50, 120) else w for k, w in enumerate(base)])), (2, " ".join(base[100:]))]
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()} == {0, 2}
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>
