@@ -108,7 +108,7 @@ def signatures() -> tuple[Signature, ...]:
         rule(key, 85, rf"spdx-license-identifier:[ \t]*{re.escape(key)}(?![\w.])", ("spdx",))
         rule(key, 60, rf"\b(?:{name})[ \t,]+(?:software )?licen[cs]e\b", ("licen",), word)
         rule(key, 50, rf"\blicen[cs]ed[ \t]+{the}(?:{name})\b", ("licen",), word)
-        rule(key, 45, rf"(?:opensource|spdx)\.org/licenses?/{re.escape(key)}\b", ("license/",))
+        rule(key, 45, rf"(?:opensource|spdx)\.org/licenses?/{re.escape(key)}\b", ("license/", "licenses/"))
     for kind in CC:
         dashed = kind.replace("-", r"[- ]")
         words = r"[- ,]*".join(CC_WORDS[w] for w in kind.split("-"))

@@ -455,6 +455,17 @@ def test_license_gates_hide_no_match(sample):
                 assert all(any(w in low for w in words) for words in s.keywords), (s.label, t[:60])
 
 
+@pytest.mark.parametrize("site", ["opensource.org/license/", "opensource.org/licenses/", "spdx.org/licenses/"])
+def test_license_links_have_labels(site):
+    for key in licenses.FAMILIES:
+        got = licenses.scan(f"See https://{site}{key.upper()} for the terms.")
+        assert key in got["labels"].split(",") and got["score"] >= 0.45, (site, key)
+        low = licenses.lowered(f"https://{site}{key.upper()} ")
+        for s in licenses.signatures():
+            if s.pattern.search(low):
+                assert all(any(w in low for w in words) for words in s.keywords), (s.label, low)
+
+
 def test_license_table(docs, empty):
     out = licenses.scanned(docs)
     assert ids(out) == ids(docs) and licenses.scanned(empty).count() == 0
