@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,20 +15,39 @@ from quire.functions.text import words
 from quire.functions.vectors import cosine
 from quire.operators.keyword import top
 
-#: Questions that one dense search takes: a stated batch, so its side of the join is small by construction.
+#: Questions that one pass over the vectors takes: a stated block, so the broadcast matrix is small by construction.
 BATCH = 10_000
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 30) -> DataFrame:
     """qid, chunk_id, score, rank: exact cosine top-k. vectors (chunk_id, embedding), questions (qid, embedding).
 
-    The questions are one broadcast matrix (their number is checked). Each batch of vectors is scored by a matrix
-    product and a partition keeps the best k of each question, so k rows per question and partition are shuffled,
-    never the pairs. Scores are rounded to nine digits, so ranks do not depend on the order of summation.
+    The questions are broadcast matrices of at most BATCH rows, one pass over the vectors for each. Each batch of vectors
+    is scored by a matrix product and a partition keeps the best k of each question, so k rows per question and partition
+    are shuffled, never the pairs. Scores are rounded to nine digits, so ranks do not depend on the order of summation.
     """
     asked = questions.select("qid", "embedding").limit(BATCH + 1).collect()
-    if len(asked) > BATCH:
-        raise ValueError(f"at most {BATCH} questions at a time")
+    if len(asked) <= BATCH:
+        return _dense_block(vectors, questions, asked, k)
+    blocks = _blocks(questions.select("qid", "embedding"))
+    return reduce(DataFrame.union, (_dense_block(vectors, questions, b, k) for b in blocks))
+
+
+def _blocks(questions: DataFrame) -> Iterator[list]:
+    """All questions in runs of at most BATCH rows. The driver holds a partition of them at a time, and the run.
+
+    Equal qids share a run, as their candidates are ranked together; more than BATCH rows of one qid are one run.
+    """
+    run: list = []
+    for r in questions.orderBy("qid").toLocalIterator():
+        if len(run) >= BATCH and r.qid != run[-1].qid:
+            yield run
+            run = []
+        run.append(r)
+    yield run
+
+
+def _dense_block(vectors: DataFrame, questions: DataFrame, asked: list, k: int) -> DataFrame:
     ids = [r.qid for r in asked]
     matrix = vectors.sparkSession.sparkContext.broadcast(_units([r.embedding for r in asked]))
     fields = {f.name: f.dataType.simpleString() for f in [*questions.select("qid").schema, *vectors.select("chunk_id").schema]}

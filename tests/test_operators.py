@@ -143,6 +143,15 @@ def test_dense_is_exact(spark):
         assert [r.chunk_id for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == [c for _, c in want]
 
 
+def test_dense_takes_more_questions_than_a_block(spark, monkeypatch):
+    rng = random.Random(9)
+    vectors = spark.createDataFrame([(f"c{i:03}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)], "chunk_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(q, [rng.gauss(0, 1) for _ in range(8)]) for q in range(23)] + [(7, [1.0] * 8)], "qid int, embedding array<double>").repartition(4)
+    want = sorted(map(tuple, retrieve.dense(vectors, asked, k=5).collect()))
+    monkeypatch.setattr(retrieve, "BATCH", 5)
+    assert len(want) == 23 * 5 and sorted(map(tuple, retrieve.dense(vectors, asked, k=5).collect())) == want
+
+
 def test_fusion_and_refusal(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "qid int, chunk_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2), (2, "w", 1)], "qid int, chunk_id string, rank int")
