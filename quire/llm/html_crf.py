@@ -30,7 +30,9 @@ from quire.llm import common
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+|(?<=[a-z])(?=[A-Z])")
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video select option title".split())
+RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video select title".split())
+#: Raw elements whose text runs to the end of the page where their end tag is missing; others then are as if not there.
+ENDLESS = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 #: A start tag of the key closes an open element of these names.
@@ -70,6 +72,7 @@ def blocks(source: str | None) -> list[Block]:
     stack: list[tuple[str, frozenset[str], int]] = []  # name, hints of it and above, label of it and above
     parts: list[str] = []
     linked = depth = 0
+    unended: set[str] = set()  # raw elements without a further end tag
     source = source or ""
 
     def close() -> None:
@@ -110,8 +113,10 @@ def blocks(source: str | None) -> list[Block]:
         end = m[1] == "/"
         if name in RAW:
             if not end and not m[3].endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = stop.end() if stop else n
+                stop = None if name in unended else re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+                if not stop:
+                    unended.add(name)
+                at = stop.end() if stop else n if name in ENDLESS else at
             continue
         if name in INLINE:
             if name == "a":
@@ -121,6 +126,8 @@ def blocks(source: str | None) -> list[Block]:
             continue
         close()
         depth = 0
+        if stack and stack[-1][0] == "option" and not (end and name == "option"):
+            stack.pop()  # an option holds text only, and its end tag is usually left out
         if end:
             pop((name,))
             continue
@@ -135,6 +142,8 @@ def blocks(source: str | None) -> list[Block]:
             hints = hints | {HINT_OF[w] for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).lower()) if w in HINT_OF}
             marked = re.search(r"data-label=\"([01])\"", m[3])
             label = int(marked[1]) if marked else label
+        if name == "option":
+            hints = hints | {"form"}
         stack.append((name, hints, label))
     close()
     return out

@@ -385,6 +385,18 @@ def test_main_text_of_a_page():
     assert html_crf.main_text(PAGE, html_crf.model()) == "Big & bold\nFirst para\xadgraph with bold and a link in it.\nSecond one <here>."
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<datalist id=d><option value=a><option value=b></datalist>", "<form><select><option>One<option>Two</select></form>", "<option>One<option>Two", "<p>x<iframe src=y>", "<svg viewBox='0 0 1 1'><path d='M0'>", "<select><option>One", "<title>T", "<textarea>" * 3],
+)
+def test_unended_elements_hide_no_text(before):
+    for page in (PAGE.replace("<article>", f"{before}<article>"), f"{before}{PAGE}"):
+        got = html_crf.main_text(page, html_crf.model())
+        assert got.endswith("Big & bold\nFirst para\xadgraph with bold and a link in it.\nSecond one <here>."), got
+        assert "Two" not in got
+    assert html_crf.blocks("<p>seen</p><script>var hidden = 1;<p>hidden</p>")[-1].text == "seen"
+
+
 def test_chain_on_unseen_pages():
     chain, wrong, total = html_crf.model(), 0, 0
     for p in html_crf.labelled_pages(60, seed=1234):
