@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword gate, overlaps settled by priority and containment.
 
 A signature is a regular expression with a label, a priority and groups of keywords; each of its matches holds one of every group. A text is
-lowered (A-Z only, so places stay), each keyword is looked up once, and only signatures whose keywords occur run.
+lowered (A-Z only, so places stay) and each run of white space, line ends too, becomes one blank, so wrapped texts match
+like others; each keyword is looked up once, and only signatures whose keywords occur run. Places are those of the text.
 Matches are taken in order of priority, then length, then place; a match inside the interval of one already taken is
 suppressed. Beside this, the base phrases of the contract are counted word by word.
 
@@ -12,6 +13,7 @@ whole; repeated rows repeat; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -153,6 +155,31 @@ def detections(low: str) -> list[tuple[str, int, int, int]]:
     return sorted(taken, key=lambda d: (d[1], d[2], d[0]))
 
 
+_RUNS = re.compile(r"\s{2,}|[^\S ]")
+_FULL = re.compile(r"\S+")
+
+
+def unwrapped(low: str) -> str:
+    """The text with one blank for each run of white space."""
+    return _RUNS.sub(" ", low)
+
+
+def placed(found: list[tuple[str, int, int, int]], low: str) -> list[tuple[str, int, int, int]]:
+    """Finds of ``unwrapped(low)`` at their places in low; a blank stands for the first of its run."""
+    starts, moved, at = [], [], 0
+    for m in _FULL.finditer(low):
+        at += bool(moved or m.start())  # the blank before it
+        starts.append(at)
+        moved.append(m.start() - at)
+        at += m.end() - m.start()
+
+    def back(x: int) -> int:
+        k = bisect_right(starts, x) - 1
+        return x + moved[k] if k >= 0 else x
+
+    return [(label, back(a), back(b - 1) + 1, priority) for label, a, b, priority in found]
+
+
 _APART = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -176,7 +203,10 @@ def scan(text: str | None) -> dict:
     text = text or ""
     n_words, places, base = base_places(text)
     low = lowered(text)
-    found = detections(low)
+    plain = unwrapped(low)
+    found = detections(plain)
+    if found and plain != low:
+        found = placed(found, low)
     score = max([f[3] / 100 for f in found] + [0.6] * bool(base), default=0.0)
     return {
         "n_words": n_words, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),

@@ -478,6 +478,26 @@ def test_license_links_have_labels(site):
                 assert all(any(w in low for w in words) for words in s.keywords), (s.label, low)
 
 
+WRAPPED = {
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee": "isc",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "subject to the Mozilla Public License 2.0": "mpl-2.0", "under Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa-4.0",
+    "licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1", "All rights reserved.": "all-rights-reserved", "proprietary and confidential": "proprietary", "provided as is, without warranty of any kind": "warranty-disclaimer",
+}
+
+
+@pytest.mark.parametrize("text", WRAPPED)
+def test_license_wraps_hide_no_match(text):
+    """A break at any one blank, and at all of them, gives the labels and the words of the one-line text."""
+    want = licenses.scan(text)
+    words = lambda r, t: [(f[0], t[f[1] : f[2]].split(), f[3]) for f in r["found"]]
+    assert WRAPPED[text] in want["labels"].split(",")
+    blanks = [m.start() for m in re.finditer(" ", text)]
+    for gap in ("\n", "\r\n", "\n\n   ", "  ", "\t"):
+        for t in [text[:k] + gap + text[k + 1 :] for k in blanks] + [text.replace(" ", gap), f"{gap}é  {text.replace(' ', gap)}{gap}"]:
+            got = licenses.scan(t)
+            assert got["labels"] == want["labels"] and got["score"] == want["score"] and words(got, t) == words(want, text), t
+
+
 def test_license_table(docs, empty):
     out = licenses.scanned(docs)
     assert ids(out) == ids(docs) and licenses.scanned(empty).count() == 0
