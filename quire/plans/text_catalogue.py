@@ -145,6 +145,13 @@ def text_layer(spark, d):
     return structure.text_layer(b, ["page"])
 
 
+@query("text_layer_whole")
+def text_layer_whole(spark, d):
+    """As text_layer, over whole texts."""
+    b = t(spark, d, "documents").selectExpr("doc_id div 10 AS page", "CAST((doc_id * 7) % 10 AS DOUBLE) AS y", "CAST(doc_id % 3 AS DOUBLE) AS x", "text")
+    return structure.text_layer(b, ["page"])
+
+
 # Chunks -------------------------------------------------------------------------------------------------------------
 
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z(\"''“])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
