@@ -16,6 +16,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,42 +28,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common
-from quire.llm.word_cache import WordCache
+from quire.llm.word_cache import WordCache, flat
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids array<int>"
 ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part")), ("ids", pa.list_(pa.int32()))])
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordCache:
-    """One per worker process. The tokenizer never joins what white space parts, so a text's ids are those of its words."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = made.encode(words, is_pretokenized=True, add_special_tokens=False)  # one call for all words
-        return np.array(got.ids, dtype=np.uint32), np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(words))
-
-    return WordCache(encode, parts=letters_and_marks)
-
-
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts on which every built encoder is verified: letters that decompose, special tokens in any case, odd spaces.
+PROBES = ["", " ", "a", "Plain words, and 12 numbers!", "İ! क़, ڦ. שׁ! \u0344! ﬁ! ß! Σς!", "<|ENDOFTEXT|> <|endoftext|> x<|StartOfText|>y", "tab\tnbsp\u00a0thin\u2009line\u2028end\r\n", "don't 'Tis I'LL it's'", "e\u0301! a \u0308 =\u0338 <\u0338!", "日本語。テキスト! 한국어, \u1112\u1161\u11ab!", "x" * 300 + "!" * 300, "𝔘! 🙂!"]
+
+
+class Encoder:
+    """Token ids of texts, as ``Tokenizer.encode`` gives them.
+
+    The pre-tokenizer never joins what a blank or line end parts, so a text's ids are those of its words, and each
+    distinct word is encoded once. A word of ``plain`` letters and the ASCII marks after it is joined from its two parts;
+    plain letters are those of which the file's own normaliser and pre-tokenizer make a word apart from a mark. If any
+    probe has other ids this way, whole texts are encoded instead.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.made = made = Tokenizer.from_file(path)
+        self.special = [t.content for t in made.get_added_tokens_decoder().values()]
+        self.lowers = self._apart("A") == self._apart("a")
+        letters = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(one := self._apart(c)) == 1 and self._apart(c + "!") == [*one, *self._apart("!")])
+        cut = re.compile(f"([{letters}]+)([{re.escape(MARKS)}]+)") if letters else re.compile("(?!)")
+        self.cache = WordCache(self._words, parts=lambda w: m.groups() if w[-1:] in MARKS and (m := cut.fullmatch(w)) else None)
+        self.by_word = True
+        for probe in PROBES:
+            if self.ids([probe])[0].tolist() != made.encode(probe, add_special_tokens=False).ids:
+                self.by_word = False
+
+    def _apart(self, text: str) -> list[str]:
+        """The pieces that are merged within."""
+        text = self.made.normalizer.normalize_str(text) if self.made.normalizer else text
+        return [p for p, _ in self.made.pre_tokenizer.pre_tokenize_str(text)] if self.made.pre_tokenizer else [text]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.made.encode(words, is_pretokenized=True, add_special_tokens=False)  # one call for all words
+        return np.array(got.ids, dtype=np.uint32), np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(words))
 
+    def split(self, text: str) -> list[str]:
+        """Cut at blanks and line ends. ASCII is lowered, so that fewer words differ, if the tokenizer does so itself and
+        no special token comes of it (those are looked up in the text as it is)."""
+        if self.lowers and text.isascii():
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                text = low
+        return text.replace("\n", " ").split(" ")
 
-def letters_and_marks(word: str) -> tuple[str, str] | None:
-    """A word of letters and the marks after it, which the tokenizer takes apart before it merges."""
-    if word[-1:] in MARKS and word:
-        letters = word.rstrip(MARKS)
-        if letters.isalpha():
-            return letters, word[len(letters) :]
-    return None
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's begin (one entry more than texts)."""
+        if self.by_word:
+            return self.cache.ids([self.split(t) for t in texts])
+        ids, lengths = flat([e.ids for e in self.made.encode_batch_fast(texts, add_special_tokens=False)])
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def split(text: str) -> list[str]:
-    """Cut at spaces and line ends; ASCII is lowered, as the tokenizer does, so that fewer words differ."""
-    return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker process, verified when built."""
+    return Encoder(path)
 
 
 class Packer:
@@ -144,14 +174,14 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
     common.small_batches(docs.sparkSession)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         packer = Packer(capacity, open_windows, part << 32)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             for some in common.slices(batch):
-                flat, at = words.ids([split(t or "") for t in some.column(1).to_pylist()])
+                every, at = words.ids([t or "" for t in some.column(1).to_pylist()])
                 for doc, a, b in zip(some.column(0).to_pylist(), at[:-1], at[1:]):
-                    packer.add(doc, 0, np.concatenate([flat[a:b], end]), int(b - a) + 1)
+                    packer.add(doc, 0, np.concatenate([every[a:b], end]), int(b - a) + 1)
                 yield packer.flush()
         left = packer.merge()
         packer.rows += [(doc, start, len(ids), None, total, None, None, part, ids.astype(np.int32)) for doc, start, ids, total in left]

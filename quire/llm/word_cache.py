@@ -9,36 +9,62 @@ import numpy as np
 
 
 class WordCache:
-    """ids of words from a growing table. Beyond ``most`` words (some 250 bytes each) it shrinks to its first ``keep``:
-    frequent words come early, and those that come late are mostly never seen again. So memory is bounded.
+    """ids of words from a growing table of bounded memory.
+
+    Beyond ``most`` words (some 250 bytes each) or ``most_bytes`` characters of words it shrinks to its first ``keep``
+    and half the characters: frequent words come early, and those that come late are mostly never seen again. Words of
+    over ``long`` characters leave the table after the call that brought them, so texts without spaces do not fill it.
 
     ``encode`` gives the ids of words one after another and how many each has. ``parts`` may cut a word in two whose ids are those of its parts one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 900_000, keep: int = 550_000, parts: Callable[[str], tuple[str, str] | None] | None = None):
-        self.encode, self.most, self.keep, self.parts = encode, most, keep, parts
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 900_000, keep: int = 550_000, parts: Callable[[str], tuple[str, str] | None] | None = None, most_bytes: int = 32_000_000, long: int = 64):
+        self.encode, self.most, self.keep, self.parts, self.most_bytes, self.long = encode, most, keep, parts, most_bytes, long
         self.clear()
 
     def shrink(self) -> None:
-        self.at = dict(islice(self.at.items(), self.keep))
-        self.used = int(self.starts[self.keep])
+        sizes = np.cumsum(np.fromiter(map(len, self.at), dtype=np.int64, count=len(self.at)))
+        kept = min(self.keep, int(np.searchsorted(sizes, self.most_bytes // 2, side="right")))
+        self._truncate(kept)
+        self.durable, self.bytes = kept, int(sizes[kept - 1]) if kept else 0
+
+    def _truncate(self, n: int) -> None:
+        """Only the first n words stay."""
+        if len(self.at) > n:
+            self.used = int(self.starts[n])
+            if len(self.at) - n < n:
+                for _ in range(len(self.at) - n):
+                    self.at.popitem()
+            else:
+                self.at = dict(islice(self.at.items(), n))
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
         self.pool = np.zeros(4096, dtype=np.uint32)
-        self.used = 0
+        self.used = self.durable = self.bytes = 0
 
     def add(self, words: list[str]) -> None:
-        """Puts distinct new words into the table; those that ``parts`` cuts are joined from their parts' ids."""
+        """Puts distinct new words into the table, the long ones last and for one call only."""
+        long = [w for w in words if len(w) > self.long]
+        if long:
+            words = [w for w in words if len(w) <= self.long]
+        self._add(words)
+        self.durable = len(self.at)
+        if long:
+            self._add([w for w in long if w not in self.at])
+
+    def _add(self, words: list[str]) -> None:
+        """Words that ``parts`` cuts are joined from their parts' ids."""
         cut = {w: p for w in words if (p := self.parts(w))} if self.parts else {}
         plain = [w for w in words if w not in cut]
         if cut:
             at, own = self.at, set(plain)
-            plain += [w for w in dict.fromkeys(p for pair in cut.values() for p in pair) if w not in at and w not in own]
-        ids, lengths = self.encode(plain)
-        self._append(plain, lengths, ids)
+            plain += [w for w in dict.fromkeys(p for pair in cut.values() for p in pair) if w not in at and w not in own and w not in cut]
+        if plain:
+            ids, lengths = self.encode(plain)
+            self._append(plain, lengths, ids)
         if cut:
             at, starts, size, pool = self.at, self.starts, self.lengths, self.pool
             index = np.fromiter((at[p] for pair in cut.values() for p in pair), dtype=np.int64, count=2 * len(cut))
@@ -47,6 +73,7 @@ class WordCache:
 
     def _append(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
         first, n = len(self.at), len(self.at) + len(words)
+        self.bytes += sum(map(len, words))
         self.at.update(zip(words, range(first, n)))
         if n > len(self.starts):
             self.starts = np.resize(self.starts, 3 * n // 2)
@@ -60,7 +87,10 @@ class WordCache:
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one entry more than texts)."""
-        if len(self.at) > self.most:
+        if len(self.at) > self.durable:
+            self.bytes -= sum(map(len, islice(self.at, self.durable, None)))
+            self._truncate(self.durable)
+        if len(self.at) > self.most or self.bytes > self.most_bytes:
             self.shrink()
         at = self.at
         counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))

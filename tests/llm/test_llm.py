@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 
@@ -555,10 +556,40 @@ def test_words_have_the_ids_of_the_text(text):
     from tokenizers import Tokenizer
 
     path = tokenizer_file("word_bpe_49k.json")
-    flat, _ = packing.tokenizer(path).ids([packing.split(text)])
+    flat, _ = packing.encoder(path).ids([text])
     assert flat.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_before_a_mark_has_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    made, own = Tokenizer.from_file(path), packing.Encoder(path)
+    assert own.by_word
+    letters = [chr(c) for c in range(sys.maxunicode) if chr(c).isalpha()]
+    for mark in ("!", ",)", "'", "'s", "\u0301", "-x"):
+        texts = [c + mark for c in letters] + [f"ab{c}{mark}" for c in letters[:1200]]
+        flat, at = own.ids(texts)
+        want = made.encode_batch_fast(texts, add_special_tokens=False)
+        for k, e in enumerate(want):
+            assert flat[at[k] : at[k + 1]].tolist() == e.ids, (texts[k], mark)
+    for special in ("<|endoftext|>", "<|startoftext|>"):
+        for form in (special, special.upper(), special.title(), f"a{special}!", f"A {special.upper()} b\n{special} C"):
+            assert own.ids([form])[0].tolist() == made.encode(form, add_special_tokens=False).ids, form
+
+
+def test_word_tables_are_bounded_by_characters():
+    from quire.llm.word_cache import WordCache, flat
+
+    cache = WordCache(lambda words: flat([[ord(c) for c in w[:3]] for w in words]), most=100, keep=50, most_bytes=400, long=10)
+    for k in range(200):
+        words = [f"w{k}{i}" for i in range(5)] + ["x" * 5000 + str(k), f"w{k}0"]
+        ids, at = cache.ids([words])
+        assert ids.tolist() == [ord(c) for w in words for c in w[:3]]
+        cache.ids([["w"]])
+        assert len(cache.at) <= 106 and sum(map(len, cache.at)) <= 450 and all(len(w) <= 10 for w in cache.at)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
