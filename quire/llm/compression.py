@@ -23,14 +23,19 @@ def windows(data: bytes, size: int) -> list[bytes]:
     return out
 
 
+def sampled(texts: Sequence[bytes], size: int, most: int) -> list[bytes]:
+    """The windows of all texts, every n-th of them where they are over ``most``, so each part of each text has its share."""
+    every = [w for t in texts for w in windows(t, size)]
+    return every[:: -(-len(every) // most)] if len(every) > most else every
+
+
 def train(samples: Sequence[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the samples; with too few samples their plain content."""
-    if len(samples) >= 16:
-        try:
-            return zstd.train_dictionary(size, list(samples), k=64, d=6, level=3).as_bytes()
-        except zstd.ZstdError:
-            pass
-    return b"".join(samples)[-size:]
+    """A zstandard dictionary of the samples. The trainer wants some samples and ten times the dictionary's size of
+    them; a dictionary of less is asked of fewer, and none (no bytes) of samples that cannot train the least one."""
+    size = min(size, sum(map(len, samples)) // 10)
+    if size < 512 or len(samples) < 16:
+        return b""
+    return zstd.train_dictionary(size, list(samples), k=64, d=6, level=3).as_bytes()
 
 
 @lru_cache(maxsize=16)

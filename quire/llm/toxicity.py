@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built: one on ordinary text, one on toxic text. Both share the same trained base,
-so a window's two compressed sizes differ only by what the toxic content saves; that content is selected as COVER
-selects segments, but by class contrast (frequent in toxic training texts, nearly absent from the ordinary ones).
+Two dictionaries share a base that zstandard's trainer makes of ordinary text; the toxic one has toxic content behind it,
+so a window's two compressed sizes differ only by what that content saves. The content is no trained dictionary: its
+segments are chosen by class contrast (frequent in toxic training texts, nearly absent from the ordinary ones), as two
+dictionaries that the trainer makes of either class apart do not tell the classes (the README has the figures).
 Every window of a text is compressed with both; the largest and the mean saving, over several window sizes, give a
 score by a calibration fitted on training rows that the dictionaries did not see.
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common
-from quire.llm.compression import fit_logistic, probability, sizes, train, windows
+from quire.llm.compression import fit_logistic, probability, sampled, sizes, train, windows
 
 #: (window bytes, level, mirrored: the ordinary dictionary also gets the toxic content, reversed, so both are equally long)
 PASSES = ((64, 3, False), (64, 3, True), (48, 1, True))
@@ -65,7 +66,7 @@ def forms(text: str) -> set[bytes]:
     return out
 
 
-def toxic_content(toxic: list[str], ordinary: list[str], least: float = 0.04, ratio: float = 20, most: int = 120) -> bytes:
+def toxic_content(toxic: list[str], ordinary: list[str], least: float = 0.04, ratio: float = 20) -> bytes:
     """Segments for the toxic dictionary: in at least ``least`` of the toxic texts, ``ratio`` times as often as in ordinary ones."""
     found = Counter(f for t in toxic for f in forms(t))
     # So many occurrences that chance would hardly put them all on the toxic side (odds of e^-11).
@@ -82,44 +83,38 @@ def toxic_content(toxic: list[str], ordinary: list[str], least: float = 0.04, ra
     strong.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     kept: list[bytes] = []
     for _, f in strong:
-        if len(kept) < most and not any(f.startswith(k) or k.startswith(f) for k in kept):
+        if not any(f.startswith(k) or k.startswith(f) for k in kept):
             kept.append(f)
     return b" " + b" ".join(reversed(kept)) + b" " if kept else b""
 
 
-def dictionaries(rows: list[tuple[str, int]], dictionary_bytes: int) -> tuple[tuple[int, int, bytes, bytes], ...]:
+def dictionaries(rows: list[tuple[str, int]], dictionary_bytes: int, base_windows: int) -> tuple[tuple[int, int, bytes, bytes], ...]:
     toxic = [t for t, v in rows if v]
     ordinary = [t for t, v in rows if not v]
     content = toxic_content(toxic, ordinary)
-    base = train([w for t in ordinary[:2000] for w in windows(t.lower().encode("utf-8", "replace"), 64)[:40]], dictionary_bytes)
+    base = train(sampled([t.lower().encode("utf-8", "replace") for t in ordinary], 64, base_windows), dictionary_bytes)
     return tuple((size, level, base + content[::-1] if mirrored else base, base + content) for size, level, mirrored in PASSES)
 
 
-def fit(rows: list[tuple[str, int]], dictionary_bytes: int = 4096, folds: int = 3, few: int = 300) -> ToxicityModel:
-    """Dictionaries from six tenths of the rows, calibration from the rest.
-
-    With under ``few`` toxic rows every row serves both: the calibration then sees savings under dictionaries of the
-    other folds, and the final dictionaries come from all rows.
-    """
+def fit(rows: list[tuple[str, int]], dictionary_bytes: int = 8192, folds: int = 3, base_windows: int = 80_000) -> ToxicityModel:
+    """Every row serves both ends: the calibration sees savings under dictionaries of the other folds, and the final
+    dictionaries come from all rows. The base is trained on ``base_windows`` windows at most, dealt over all ordinary
+    texts and their whole length."""
     y = np.array([r[1] for r in rows], dtype=float)
     prior = float(y.mean()) if len(y) else 0.0
     if y.sum() < 8 or (1 - y).sum() < 8:
         return ToxicityModel((), (), prior)
-    if y.sum() >= few:
-        cut = len(rows) * 6 // 10
-        model = ToxicityModel(dictionaries(rows[:cut], dictionary_bytes), (), prior)
-        return ToxicityModel(model.pairs, tuple(fit_logistic(model.features([t for t, _ in rows[cut:]]), y[cut:])), prior)
     rank = np.empty(len(y), dtype=int)  # folds with equal shares of either label
     for label in (0, 1):
         at = np.flatnonzero(y == label)
         rank[at] = np.arange(len(at)) % folds
     seen, marks = [], []
     for k in range(folds):
-        part = ToxicityModel(dictionaries([r for r, f in zip(rows, rank) if f != k], dictionary_bytes), (), prior)
+        part = ToxicityModel(dictionaries([r for r, f in zip(rows, rank) if f != k], dictionary_bytes, base_windows), (), prior)
         seen.append(part.features([r[0] for r, f in zip(rows, rank) if f == k]))
         marks.append(y[rank == k])
     weights = fit_logistic(np.vstack(seen), np.concatenate(marks), ridge=1e-2)
-    return ToxicityModel(dictionaries(rows, dictionary_bytes), tuple(weights), prior)
+    return ToxicityModel(dictionaries(rows, dictionary_bytes, base_windows), tuple(weights), prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
