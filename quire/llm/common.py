@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,18 +30,36 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, made the session's checkpoint folder if it has none.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is taken.
+    Only on one machine (a local master: tests, trials) a temporary folder stands in where that setting is absent; on a
+    cluster a folder that the executors do not share would lose data with an executor, so that is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        if not where:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            where = tempfile.mkdtemp(prefix="quire-checkpoint-")
+        context.setCheckpointDir(where)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, written as Parquet to the shared folder and read from there."""
+    where = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def text_map(docs: DataFrame, columns: Sequence[str], fn: Callable[[dict[str, list]], dict[str, Sequence]], schema: str) -> DataFrame:
     """``fn`` over bounded slices of ``columns`` of docs: dict of lists in, dict of equally long lists out.
 
