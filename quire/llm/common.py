@@ -53,6 +53,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A computed table of few bytes a row, hinted for broadcast if it has at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, written as Parquet to the shared folder and read from there."""
     where = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
