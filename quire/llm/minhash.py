@@ -11,13 +11,15 @@ The comparison with the next document sends each text once: documents are dealt
 first of each block also to the block before it.
 
 Defined results: null text counts as empty; a text without words has the fingerprint ``00`` and likeness 1 to another
-such text, else 0; equal texts have equal fingerprints; null ids stand before all others, equal ids in order of text;
+such text, else 0; equal texts have equal fingerprints; null ids stand before all others, equal ids in order of their
+texts' hashes; texts of any length are hashed whole, in pieces;
 the only document of a table is its own next; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -98,6 +100,44 @@ def _orders(bins: int) -> np.ndarray:
     return np.argsort(rng.random((bins, bins)), axis=1).T.astype(np.int16).copy()
 
 
+def pieces(text: bytes, width: int, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes whose shingles are together those of the text: each further piece begins
+    with the last width - 1 words of the one before."""
+    start, n, step = 0, len(text), size
+    while n - start > step:
+        gap = _GAP.search(text, start + step)
+        if not gap or not _WORD.search(text, gap.end()):
+            break  # no word after this piece
+        part = text[start : gap.start()]
+        words = part.rsplit(None, width - 1)
+        if len(words) < width:
+            step *= 2  # words so long that the piece has too few of them
+            continue
+        yield part
+        start, step = start + len(words[0]), size
+    yield text[start:]
+
+
+_GAP, _WORD = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[^\x20\x09-\x0D]")
+
+
+def piecewise(texts: list[bytes], width: int = WIDTH, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``shingles`` of the texts, in runs of bounded size however long a text is."""
+    run, owner, held = [], [], 0
+    for i, text in enumerate(texts):
+        for part in pieces(text, width, size) if len(text) > size else (text,):
+            if held and held + len(part) > 2 * size:
+                h, of = shingles(run, width)
+                yield h, np.array(owner)[of]
+                run, owner, held = [], [], 0
+            run.append(part)
+            owner.append(i)
+            held += len(part)
+    if run:
+        h, of = shingles(run, width)
+        yield h, np.array(owner)[of]
+
+
 def sketch(texts: list[bytes], bins: int = BINS, bits: int = BITS, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(texts x bins) low-order bits, and which texts have a shingle."""
     low = np.zeros((len(texts), bins), dtype=np.uint8)
@@ -106,17 +146,16 @@ def sketch(texts: list[bytes], bins: int = BINS, bits: int = BITS, width: int =
     shift = np.uint64(64 - bins.bit_length() + 1)
     for k in range(0, len(texts), 4096):
         part = texts[k : k + 4096]
-        h, of = shingles(part, width)
-        if not len(h):
-            continue
-        slot = of * bins + (h >> shift).astype(np.int64)
-        order = np.lexsort((h, slot)) if len(part) > 4096 else np.argsort((slot.astype(np.uint64) << np.uint64(42)) | ((h << np.uint64(64 - int(shift))) >> np.uint64(22)), kind="stable")
-        slot, h = slot[order], h[order]
-        head = np.concatenate([[True], slot[1:] != slot[:-1]])
         full = np.zeros(len(part) * bins, dtype=bool)
-        value = np.zeros(len(part) * bins, dtype=np.uint64)
-        full[slot[head]] = True
-        value[slot[head]] = h[head]
+        value = np.full(len(part) * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for h, of in piecewise(part, width):
+            slot = of * bins + (h >> shift).astype(np.int64)
+            # Slot and the hash's next bits in one number: a stable sort by it finds each slot's least.
+            order = np.argsort((slot.astype(np.uint64) << np.uint64(42)) | ((h << np.uint64(64 - int(shift))) >> np.uint64(22)), kind="stable")
+            slot, h = slot[order], h[order]
+            head = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, dtype=bool)
+            full[slot[head]] = True
+            value[slot[head]] = np.minimum(value[slot[head]], h[head])
         filled = full.reshape(-1, bins).any(1)
         empty = np.flatnonzero(~full & np.repeat(filled, bins))
         row, col = empty // bins * bins, empty % bins
@@ -128,6 +167,7 @@ def sketch(texts: list[bytes], bins: int = BINS, bits: int = BITS, width: int =
             # Bits of the donor's value and the bin's number: two texts of few shingles agree by chance in each bin anew.
             value[empty[hit]] = mix(value[donor[hit]] ^ mix(col[hit].astype(np.uint64)))
             empty, row, col = empty[~hit], row[~hit], col[~hit]
+        value[np.repeat(~filled, bins)] = 0
         low[k : k + len(part)] = (value & np.uint64((1 << bits) - 1)).astype(np.uint8).reshape(-1, bins)
         any_word[k : k + len(part)] = filled
     return low, any_word
@@ -156,38 +196,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.text_map(docs, ["doc_id", "text"], run, "doc_id long, fingerprint string")
 
 
-def _block(key: Column, splits: list[int], fan: int = 64) -> Column:
-    """How many of the sorted splits are at most key, found in two steps of at most ``fan`` comparisons each."""
+def _at_most(key: Column, splits: list[int], fan: int = 64) -> Column:
+    """How many of the sorted splits are at most key, found in steps of at most ``fan`` comparisons each."""
+    text = lambda xs: "array(" + ",".join(f"CAST('{x}' AS BIGINT)" for x in xs) + ")"
     if not splits:
         return F.lit(0)
+    if len(splits) <= fan:
+        return F.size(F.filter(F.expr(text(splits)), lambda x: x <= key))
     rows = [splits[i : i + fan] for i in range(0, len(splits), fan)]
-    text = lambda xs: "array(" + ",".join(f"CAST('{x}' AS BIGINT)" for x in xs) + ")"
-    top = F.greatest(F.size(F.filter(F.expr(text([r[0] for r in rows])), lambda x: x <= key)) - 1, F.lit(0))
+    row = F.greatest(_at_most(key, [r[0] for r in rows], fan) - 1, F.lit(0))
     nested = F.expr("array(" + ",".join(text(r) for r in rows) + ")")
-    return (top * fan + F.size(F.filter(F.get(nested, top), lambda x: x <= key))).cast("int")
-
-
-def edited(docs: DataFrame, rows_per_block: int = 8192, max_blocks: int = 4096) -> DataFrame:
+    return row * fan + F.size(F.filter(F.get(nested, row), lambda x: x <= key))
+
+
+def _blocks(keyed: DataFrame, blocks: int) -> DataFrame:
+    """keyed (key, digest, ...) with ``block``: about ``blocks`` runs of rows in order of key and digest.
+
+    A key that many rows share (rows without an id, say) fills blocks of its own, cut by the texts' hashes.
+    """
+    if blocks < 2:
+        return keyed.withColumn("block", F.lit(0))
+    cuts = keyed.agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] or []
+    crowd = {k: cuts.count(k) + 1 for k in {a for a, b in zip(cuts, cuts[1:]) if a == b}}
+    splits = sorted({*cuts, *(k + 1 for k in crowd if k < (1 << 63) - 1)})
+    place = _at_most(F.col("key"), splits).cast("long")
+    if not crowd:
+        return keyed.withColumn("block", place.cast("int"))
+    # Blocks of a crowded key: its share of the digests' range, numbered behind one another.
+    many = keyed.sparkSession.createDataFrame(list(crowd.items()), "key long, parts int")  # under blocks / 2 rows
+    extra = [0]
+    for k in sorted(crowd):
+        extra.append(extra[-1] + crowd[k] - 1)
+    below = _at_most(F.col("key"), sorted(crowd)) - F.col("parts").isNotNull().cast("int")
+    added = F.get(F.expr("array(" + ",".join(map(str, extra)) + ")"), below)
+    signed = F.col("digest").bitwiseXOR(F.lit(-(1 << 63)))  # order of signed longs
+    share = F.floor((F.shiftrightunsigned(signed, 33) * F.col("parts")) / F.lit(1 << 31))
+    out = keyed.join(F.broadcast(many), "key", "left")
+    return out.withColumn("block", (place + added + F.coalesce(share, F.lit(0))).cast("int")).drop("parts")
+
+
+def edited(docs: DataFrame, rows_per_block: int = 8192, max_blocks: int = 65_536) -> DataFrame:
     """Each document against its text with the last quarter replaced by the next document's beginning, and against that document."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
+    body = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", body.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64(body).alias("digest"))
     rows = keyed.count()
-    blocks = min(max_blocks, max(1, -(-rows // rows_per_block)))
-    splits = keyed.agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)], 20 * max_blocks)).first()[0] if blocks > 1 and rows else []
-    splits = sorted(set(splits))
-    keyed = keyed.withColumn("block", _block(F.col("key"), splits))
-    firsts = sorted((r.block, r.first) for r in keyed.groupBy("block").agg(F.min("key").alias("first")).collect())  # at most max_blocks
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first of all follows the last of all
-    copies = keyed.where(F.col("key").isin(list(before)) if before else F.lit(False))
-    lent = F.coalesce(*(F.when(F.col("key") == F.lit(k), F.lit(b)) for k, b in before.items())) if len(before) <= 64 else None
-    if lent is None:
-        small = spark.createDataFrame(list(before.items()), "key long, lender int")  # at most max_blocks rows
-        copies = copies.join(F.broadcast(small), "key").withColumn("block", F.col("lender")).drop("lender")
-    elif before:
-        copies = copies.withColumn("block", lent)
+    keyed = _blocks(keyed, min(max_blocks, max(1, -(-rows // rows_per_block))))
+    # Blocks number at most twice max_blocks; the first row of each is lent to the block before it.
+    firsts = keyed.groupBy("block").agg(F.min(F.struct("key", "digest")).alias("first")).select("block", "first.*").orderBy("block").collect()
+    lenders = [(r.key, r.digest, firsts[i - 1].block) for i, r in enumerate(firsts)]  # the first of all follows the last of all
+    small = spark.createDataFrame(lenders, "key long, digest long, lender int")
+    copies = keyed.join(F.broadcast(small), ["key", "digest"]).withColumn("block", F.col("lender")).drop("lender")
     both = keyed.withColumn("tail", F.lit(False)).unionByName(copies.withColumn("tail", F.lit(True)))
-    dealt = both.repartitionById(len(firsts) or 1, F.col("block")).sortWithinPartitions("block", "tail", "key", "text")
+    dealt = both.repartitionById(firsts[-1].block + 1 if firsts else 1, F.col("block")).sortWithinPartitions("block", "tail", "key", "digest")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 

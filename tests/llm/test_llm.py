@@ -160,6 +160,44 @@ def test_minhash_odd_rows(docs):
     assert by_text[0] == by_text[1] == by_text[2] == {"00"} and by_text[6] == by_text[8] and len(by_text[4]) == 1
 
 
+def test_minhash_of_pieces_is_that_of_the_text():
+    rng = random.Random(4)
+    for _ in range(60):
+        text = b"".join(rng.choice((b" ", b"\n  ", b"a", b"bc ", b"longer-word ", b"x" * 40)) for _ in range(rng.randint(0, 120)))
+        for width in (1, 3, 5):
+            parts = list(minhash.pieces(text, width, 32))
+            whole, _ = minhash.shingles([text], width)
+            some, _ = minhash.shingles(parts, width)
+            assert set(whole.tolist()) == set(some.tolist()), (text, width)
+    long = [(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400_000))).encode(), b"short one", b""]
+    low, some = minhash.sketch(long, 128, 8)
+    assert some.tolist() == [True, True, False]
+    h, of = minhash.shingles(long)
+    slot, least = (h >> np.uint64(57)).astype(int), np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, slot[of == 0], h[of == 0])
+    assert (low[0] == (least & np.uint64(255)).astype(np.uint8)).all()
+
+
+def test_minhash_blocks_of_crowded_keys(spark):
+    """Rows without ids are dealt over several blocks, in order, and every row meets its successor."""
+    rows = [(None, f"text {i} has words of its own {i * 7}") for i in range(300)] + [(i % 5, f"other {i} words") for i in range(60)] + [(1000 + i, f"last {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.edited(df, rows_per_block=16).collect()
+    from pyspark.sql import functions as F
+
+    key = df.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("d")).orderBy("k", "d").collect()
+    want = Counter()
+    for k, r in enumerate(key):
+        after, n = key[(k + 1) % len(key)].text, len(r.text) // 4
+        want[(r.doc_id, hashlib.sha256((r.text[: len(r.text) - n] + after[:n]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in out) == want
+    keyed = df.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("digest", F.xxhash64("text"))
+    blocks = minhash._blocks(keyed, 25)
+    assert blocks.where("doc_id IS NULL").select("block").distinct().count() > 8
+    rows = blocks.groupBy("block").agg(F.min(F.struct("key", "digest")).alias("a"), F.max(F.struct("key", "digest")).alias("b")).orderBy("block").collect()
+    assert all(tuple(x.b) < tuple(y.a) for x, y in zip(rows, rows[1:]))
+
+
 # 3, 7 ------------------------------------------------------------------------------------------------------------
 
 
