@@ -149,9 +149,20 @@ def detections(low: str) -> list[tuple[str, int, int, int]]:
             found += [(s.priority, m.end() - m.start(), m.start(), m.end(), s.label) for m in s.pattern.finditer(low)]
     found.sort(key=lambda d: (-d[0], -d[1], d[2], d[4]))
     taken: list[tuple[str, int, int, int]] = []
+    # For each start the farthest end of what is taken there or before, as a Fenwick tree of maxima over the starts.
+    starts = sorted({d[2] for d in found})
+    farthest = [0] * (len(starts) + 1)
     for priority, _, a, b, label in found:
-        if not any(x <= a and b <= y for _, x, y, _ in taken):
+        at = k = bisect_right(starts, a)
+        end = 0
+        while k:
+            end = max(end, farthest[k])
+            k &= k - 1
+        if end < b:
             taken.append((label, a, b, priority))
+            while at < len(farthest):
+                farthest[at] = max(farthest[at], b)
+                at += at & -at
     return sorted(taken, key=lambda d: (d[1], d[2], d[0]))
 
 
@@ -187,14 +198,19 @@ def base_places(text: str) -> tuple[int, list[int], set[str]]:
     """Number of words, first words of all places of base phrases, their labels."""
     words = text.encode("utf-8", "replace").lower().translate(_APART).split()
     line = b" " + b" ".join(words) + b" "
-    places, labels = [], set()
+    found, labels = [], set()
     for phrase, label in BASE.items():
         sought = b" " + phrase.encode() + b" "
         at = line.find(sought)
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            found.append(at)
             labels.add(label)
             at = line.find(sought, at + 1)
+    places, word, seen = [], 0, 0
+    for at in sorted(found):  # words counted once, from place to place
+        word += line.count(b" ", seen, at)
+        seen = at
+        places.append(word)
     return len(words), places, labels
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -561,6 +562,30 @@ def test_license_wraps_hide_no_match(text):
             assert got["labels"] == want["labels"] and got["score"] == want["score"] and words(got, t) == words(want, text), t
 
 
+def test_license_overlaps_against_all_pairs():
+    rng = random.Random(8)
+    bits = ["licensed under the apache license, version 2.0 ", "apache license 2.0 ", "mit license ", "gnu general public license v3 ", "all rights reserved. ", "cc by-nc 4.0 ", "spdx-license-identifier: gpl-3.0 ", "x "]
+    for _ in range(50):
+        low = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        every = []
+        for s in licenses.signatures():
+            if all(any(w in low for w in words) for words in s.keywords):
+                every += [(s.priority, m.end() - m.start(), m.start(), m.end(), s.label) for m in s.pattern.finditer(low)]
+        want = []
+        for p, _, a, b, label in sorted(every, key=lambda d: (-d[0], -d[1], d[2], d[4])):
+            if not any(x <= a and b <= y for _, x, y, _ in want):
+                want.append((label, a, b, p))
+        assert licenses.detections(low) == sorted(want, key=lambda d: (d[1], d[2], d[0]))
+
+
+@pytest.mark.parametrize("unit", ["cc by ", "Copyright (c) 2020 A. All rights reserved.\n", "licensed under the apache license, version 2.0; ", "(c) ", ", , ", "cc-", "license/", "2.0.", "creative commons "])
+def test_license_scan_of_a_long_hostile_text_is_quick(unit):
+    text = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    licenses.scan(text)
+    assert time.process_time() - start < 5
+
+
 def test_license_table(docs, empty):
     out = licenses.scanned(docs)
     assert ids(out) == ids(docs) and licenses.scanned(empty).count() == 0
