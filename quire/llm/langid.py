@@ -1,6 +1,6 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of its 1- to 3-grams over lowered letters (anything else is a gap); the kernel is the number of
+A text is the set of its 1- to 3-grams over lowered code points (what is no letter is a gap); the kernel is the number of
 shared grams over the root of the product of the set sizes. A few landmark texts of each language span a Nyström
 approximation, in which one ridge regression per language (one against the rest) is solved. Documents are scored in
 batches: a presence matrix times the landmarks' matrix gives kernel values, and these times the weights the scores.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,35 +22,28 @@ from pyspark.sql import functions as F
 
 from quire.llm import common
 
-#: Letter classes: 0 gap, 1-26 a-z, then other letters spread over the rest.
-CLASSES = 64
-SPACE = CLASSES + CLASSES**2 + CLASSES**3
+#: Grams are hashed to so many numbers; the languages of one model use some tens of thousands of grams.
+SPACE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
+@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Class of each code point below 0x3000; those above are spread by their value."""
-    out = np.zeros(0x3000, dtype=np.int64)
-    for c in range(0x3000):
-        if chr(c).isalpha():
-            out[c] = c - 96 if 97 <= c <= 122 else 27 + c * 7 % (CLASSES - 27)
-    return out
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-_TABLE = _letters()
-
-
-def grams(text: str, seen: np.ndarray) -> np.ndarray:
-    """Sorted codes of the distinct grams of a text; ``seen`` is a cleared scratch array of SPACE flags."""
-    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    c = np.where(code < 0x3000, _TABLE[np.minimum(code, 0x2FFF)], 27 + code * 7 % (CLASSES - 27))
-    two = c[:-1] * CLASSES + c[1:]
-    seen[c] = True
-    seen[CLASSES + two] = True
-    seen[CLASSES + CLASSES**2 + two[:-1] * CLASSES + c[2:]] = True
-    found = np.flatnonzero(seen)
-    seen[found] = False
-    return found
+def grams(text: str, stamp: np.ndarray) -> np.ndarray:
+    """Sorted numbers of the distinct grams of a text, of one to three code points; ``stamp`` is a scratch array of SPACE longs."""
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+    c = np.where(_letters()[code], code, 0).astype(np.uint64)
+    two = c[:-1] << np.uint64(21) | c[1:]
+    every = np.concatenate([c | np.uint64(3 << 62), two | np.uint64(1 << 63), two[:-1] << np.uint64(21) | c[2:]])
+    with np.errstate(over="ignore"):
+        every = (every * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    at = np.arange(len(every))
+    stamp[every] = at
+    return np.sort(every[stamp[every] == at])  # the last of equal numbers
 
 
 @dataclass(frozen=True)
@@ -61,7 +55,7 @@ class LanguageModel:
 
     def kernel(self, texts: list[str], batch: int = 128) -> np.ndarray:
         out = np.zeros((len(texts), self.landmarks.shape[1]), dtype=np.float32)
-        seen = np.zeros(SPACE, dtype=bool)
+        seen = np.zeros(SPACE, dtype=np.int64)
         for k in range(0, len(texts), batch):
             part = texts[k : k + batch]
             present = np.zeros((len(part), len(self.landmarks)), dtype=np.float32)
@@ -98,7 +92,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 128, ridge: float = 1e-4)
     for v in langs:
         own = sorted((t for t, w in rows if w == v), key=len, reverse=True)
         chosen += own[: max(1, len(own) // 2)][:: max(1, len(own) // 2 // each)][:each]
-    seen = np.zeros(SPACE, dtype=bool)
+    seen = np.zeros(SPACE, dtype=np.int64)
     sets = [grams(t, seen) for t in chosen]
     known = np.unique(np.concatenate(sets))
     column = np.full(SPACE, -1, dtype=np.int32)
@@ -120,19 +114,20 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 128, ridge: float = 1e-4)
     return LanguageModel(langs, column, matrix, root @ solved)
 
 
-def learn(docs: DataFrame, rows_per_lang: int = 400, max_langs: int = 200, max_chars: int = 20_000) -> LanguageModel:
-    """Fitted on a bounded sample: about ``rows_per_lang`` rows that are not held out of each of the ``max_langs`` most
-    frequent languages, of texts up to ``max_chars``, chosen by the hashes of their ids."""
+def learn(docs: DataFrame, rows_per_lang: int = 400, max_rows: int = 40_000, max_chars: int = 20_000) -> LanguageModel:
+    """Fitted on a bounded sample: about ``rows_per_lang`` rows that are not held out of every language, fewer where that
+    were over ``max_rows`` in all, of texts up to ``max_chars``, chosen by the hashes of their ids. (Of over ``max_rows``
+    languages the most frequent are learned.)"""
     known = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")) & (F.length("text") <= max_chars))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()
     if not counts:
         return fit([])
-    whole = 1_000_003
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == F.lit(r["lang"])) & (F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < min(whole, -(-whole * rows_per_lang // r["count"]))))
-    rows = known.where(keep).select(F.xxhash64("doc_id").alias("h"), "text", "lang").limit(2 * rows_per_lang * len(counts)).collect()
-    return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.h, r.text, r.lang))])
+    whole, each = 1_000_003, min(rows_per_lang, max(1, max_rows // len(counts)))
+    wanted = [(r["lang"], min(whole, -(-whole * each // r["count"]))) for r in counts]
+    share = docs.sparkSession.createDataFrame(wanted, "lang string, below long")  # at most max_rows rows
+    own = known.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(whole)) < F.col("below"))
+    rows = own.select("h", "text", "lang").orderBy("h", "text", "lang").limit(2 * each * len(counts)).collect()
+    return fit([(r.text, r.lang) for r in rows])
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:

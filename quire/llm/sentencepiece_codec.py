@@ -201,11 +201,8 @@ def codec(data: bytes, threads: int = 2) -> Codec:
     return made
 
 
-def coded(docs: DataFrame, model_file: bytes, threads: int = 2, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), round_trip (decoding gives the text again).
-
-    ``with_ids`` adds the ids themselves.
-    """
+def coded(docs: DataFrame, model_file: bytes, threads: int = 2, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), round_trip (decoding gives the text again), ids."""
     data = docs.sparkSession.sparkContext.broadcast(model_file)
 
     def run(x: dict[str, list]) -> dict:
@@ -218,6 +215,18 @@ def coded(docs: DataFrame, model_file: bytes, threads: int = 2, with_ids: bool =
             "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in own],
             "round_trip": [c.decode(i.tolist()) == (t or "") for i, t in zip(own, x["text"])],
         }
-        return out | ({"ids": [i.tolist() for i in own]} if with_ids else {})
+        return out | ({"ids": [i.astype(np.int32) for i in own]} if with_ids else {})
 
     return common.text_map(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+
+
+def decoded(tokens: DataFrame, model_file: bytes) -> DataFrame:
+    """doc_id, text of every row of tokens (doc_id, ids); null ids are the empty text, an id beyond the model is unknown."""
+    data = tokens.sparkSession.sparkContext.broadcast(model_file)
+
+    def run(x: dict[str, list]) -> dict:
+        c = codec(data.value)
+        known, unknown = range(len(c.bytes)), c.model.unknown
+        return {"doc_id": x["doc_id"], "text": [c.decode([i if i in known else unknown for i in ids or ()]) for ids in x["ids"]]}
+
+    return common.text_map(tokens, ["doc_id", "ids"], run, "doc_id long, text string")

@@ -106,6 +106,10 @@ def test_sentencepiece_table(docs, empty, sample):
         assert r.round_trip
     assert next(r for r in rows if r.doc_id == 0).n_tokens == 0
     assert sentencepiece_codec.coded(empty, data).count() == 0
+    back = sentencepiece_codec.decoded(out, data).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text or "") for r in docs.collect())
+    odd = out.sparkSession.createDataFrame([(1, None), (2, []), (3, [10**6, -5])], "doc_id long, ids array<int>")
+    assert [r.text for r in sentencepiece_codec.decoded(odd, data).orderBy("doc_id").collect()] == ["", "", " ⁇  ⁇ "[1:]]
     import sentencepiece
 
     judge = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -698,15 +702,36 @@ def test_language_odd_rows(spark, docs, empty, sample):
     assert {r.lang_pred for r in langid.identified(docs, nothing).collect()} == {"und"}
 
 
+def plain_grams(text):
+    line = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    return {line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1)}
+
+
 def test_kernel_is_the_normalised_intersection():
-    texts = ["the quick brown fox", "der schnelle braune fuchs", "le renard brun rapide", "the slow red fox", "ein langsamer fuchs", "un renard lent"]
-    model = langid.fit(list(zip(texts, ["en", "de", "fr"] * 1 + ["en", "de", "fr"])), landmarks=3)
-    seen = np.zeros(langid.SPACE, dtype=bool)
-    chosen = [set(langid.grams(t, seen).tolist()) for t in texts]
-    got = model.kernel(texts)
-    norms = {round(float(v), 5) for v in got.ravel()}
-    want = {round(len(a & b) / np.sqrt(len(a) * len(b)), 5) for a in chosen for b in chosen}
-    assert norms <= want
+    """Kernel values and predictions against sets of true n-grams and a plain ridge solution, scripts of all kinds."""
+    texts = ["the quick brown fox", "der schnelle braune fuchs", "le renard brun rapide", "быстрая лисица бежит", "η γρήγορη αλεπού", "素早い狐が走る", "الثعلب السريع"]
+    langs = ["en", "de", "fr", "ru", "el", "ja", "ar"]
+    model = langid.fit(list(zip(texts, langs)), landmarks=7)
+    asked = [*texts, "a slow fox", "лисица", "", "αλεπού 12", "日本の狐"]
+    order = [next(j for j, v in enumerate(langs) if v == w) for w in model.langs]
+    sets = [plain_grams(t) for t in asked]
+    want = np.array([[len(a & sets[j]) / np.sqrt(len(a) * len(sets[j])) for j in order] for a in sets])
+    assert np.abs(model.kernel(asked) - want).max() < 1e-3
+    k = want[order]
+    values, vectors = np.linalg.eigh(k)
+    root = vectors / np.sqrt(values)
+    x = k @ root
+    y = 2 * np.eye(7) - 1
+    solved = np.linalg.solve(x.T @ x + 1e-4 * 7 * np.eye(7), x.T @ y)
+    plain = (want @ root @ solved).argmax(1)
+    assert model.predict(asked)[0] == ["und" if not t else model.langs[i] for t, i in zip(asked, plain)]
+    assert model.predict(texts)[0] == langs and model.predict(["лисица", "αλεπού 12", "日本の狐"])[0] == ["ru", "el", "ja"]
+
+
+def test_languages_are_not_capped(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300)}{chr(0x3041 + i % 300)} word{i % 300}", f"l{i % 300}") for i in range(3000)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
 
 
 # Pipeline ----------------------------------------------------------------------------------------------------------
