@@ -179,11 +179,18 @@ def overlap_tail(spark, d):
 
 
 def as_markdown(spark, d):
-    """Each document as a parsed one: its lines are paragraphs, every fifth document has a heading and a table."""
+    """Each document as a parsed one of five pages: its lines are paragraphs of the second; every fifth document has a
+    heading and a table there, every third a contents page, running headers and a heading whose body runs on."""
     docs = t(spark, d, "documents")
+    page = lambda n: f"<!-- page {n} | digital | text layer -->\n"
+    rich = F.col("doc_id") % 3 == 0
+    head = F.when(rich, "HOUSE MANUAL\n\n").otherwise("")
     body = F.concat(
-        F.lit("<!-- page 1 | digital | text layer -->\n"), F.when(F.col("doc_id") % 5 == 0, "# 1 Scope\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n").otherwise(""), F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    )
+        F.lit(page(1)), head, F.when(rich, "CONTENTS\n| 1 | Scope | 2 |\n| 2 | Limits | 3 |\n| 3 | Ends | 4 |\n2.1 Spending limits 3\n\n").otherwise(""),
+        F.lit(page(2)), head, F.when(F.col("doc_id") % 5 == 0, "# 1 Scope\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n").otherwise(""), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n"),
+        F.lit(page(3)), head, F.when(rich, "2.1 Spending Limits Nobody spends more than the board allows in a year.\n- item one\n**Bold words**\nplain words\nthat go on\n").otherwise(""),
+        F.lit(page(4)), head, F.lit(page(5)), head,
+    )
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("source").alias("policy_family"), (2023 + F.col("doc_id") % 3).cast("int").alias("year"), body.alias("markdown"))
 
 
@@ -192,7 +199,46 @@ def chunk_pack(spark, d):
     return chunking.chunked(as_markdown(spark, d)).drop("text")
 
 
-@query("block_parse")
+def _nl(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+_HEAD = "CASE WHEN doc_id % 3 = 0 THEN " + _nl("HOUSE MANUAL\n\n") + " ELSE '' END"
+_CONTENTS_PAGE = "CASE WHEN doc_id % 3 = 0 THEN " + _nl("CONTENTS\n| 1 | Scope | 2 |\n| 2 | Limits | 3 |\n| 3 | Ends | 4 |\n2.1 Spending limits 3\n\n") + " ELSE '' END"
+_SCOPE = "CASE WHEN doc_id % 5 = 0 THEN " + _nl("# 1 Scope\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n") + " ELSE '' END"
+_LIMITS = "CASE WHEN doc_id % 3 = 0 THEN " + _nl("2.1 Spending Limits Nobody spends more than the board allows in a year.\n- item one\n**Bold words**\nplain words\nthat go on\n") + " ELSE '' END"
+_N = r"^\s*(\d+(?:\.\d+){0,4})\.?\s+(\S.*)$"
+_ATX = r"^\s*(#{1,6})\s+(\S.*?)\s*#*\s*$"
+_WORDS_OF = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
+_FLAT = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
+BLOCKS_SQL = rf"""WITH seg AS (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest([1, 2, 3, 4, 5]) AS page, unnest([concat(chr(10), {_HEAD}, {_CONTENTS_PAGE}), concat(chr(10), {_HEAD}, {_SCOPE}, replace(text, chr(10), chr(10) || chr(10)), chr(10)), concat(chr(10), {_HEAD}, {_LIMITS}), concat(chr(10), {_HEAD}), concat(chr(10), {_HEAD})]) AS segment FROM documents),
+sp AS (SELECT doc, page, regexp_split_to_array(segment, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM seg),
+l0 AS (SELECT doc, page, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM sp), l1 AS (SELECT doc, page, pos, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM l0),
+b AS (SELECT *, trim(trim(line, '#* ')) AS bare, trim(regexp_replace(trim(trim(line, '#* ')), '\d+', '#', 'g'), ' *') AS k FROM l1),
+fk AS (SELECT doc, k FROM (SELECT DISTINCT doc, page, bare, k FROM b WHERE line <> '' AND NOT starts_with(line, '|') AND length(line) <= 90 AND bare <> '') GROUP BY doc, k HAVING count(*) >= 3 AND (regexp_matches(k, '[A-Za-z]') OR count(*) >= 3.0)),
+kn AS (SELECT doc, number, first(title ORDER BY page, pos) AS known FROM (SELECT doc, page, pos, regexp_extract(x, '{_N}', 1) AS number, trim(regexp_replace(trim(regexp_extract(x, '{_N}', 2)), '[\s.]+\d{{1,4}}\s*$', ''), ' .…*') AS title FROM (SELECT *, trim(trim(line, '|')) AS x FROM b) WHERE regexp_matches(x, '{_N}') AND regexp_matches(trim(regexp_extract(x, '{_N}', 2)), '[\s.]+\d{{1,4}}\s*$')) WHERE title <> '' AND length(title) <= 110 GROUP BY doc, number),
+f AS (SELECT b.*, fk.k IS NOT NULL AND length(b.line) <= 90 AND b.bare <> '' AS noise, regexp_extract(line, '{_ATX}', 1) AS marks, regexp_extract(line, '{_ATX}', 2) AS atx, regexp_extract(line, '{_N}', 1) AS num, trim(regexp_extract(line, '{_N}', 2)) AS rest, trim(line, ' *') AS tl, {_FLAT.format("coalesce(kn.known, '')")} AS marker
+  FROM b LEFT JOIN fk ON fk.doc = b.doc AND fk.k = b.k LEFT JOIN kn ON kn.doc = b.doc AND kn.number = regexp_extract(b.raw, '{_N}', 1) AND regexp_extract(b.raw, '{_N}', 1) <> ''),
+g AS (SELECT *, regexp_extract(atx, '{_N}', 1) AS inum, CASE WHEN marker <> '' AND starts_with({_FLAT.format("rest")}, marker) THEN regexp_extract(rest, concat('(?is)^([^a-z0-9]*', regexp_replace(left(marker, -1), '(.)', '\1[^a-z0-9]*', 'g'), right(marker, 1), ')(.*[a-z0-9].*)$'), 1) ELSE '' END AS cut FROM f),
+h AS (SELECT *, CASE WHEN cut <> '' THEN trim(cut) ELSE rest END AS title, CASE WHEN cut <> '' AND NOT regexp_matches(trim(substr(rest, length(cut) + 1)), '^[\s.…]*\d{{1,4}}[\s.]*$') THEN trim(substr(rest, length(cut) + 1)) ELSE '' END AS after FROM g),
+c AS (SELECT *, CASE WHEN starts_with(line, '|') OR noise THEN 0 WHEN marks <> '' THEN CASE WHEN {_WORDS_OF.format("atx")} <= 14 THEN 1 ELSE 0 END WHEN num <> '' THEN CASE WHEN regexp_matches(rest, '^[*"''“(\[]*[A-Za-z]') AND length(title) <= 110 AND {_WORDS_OF.format("title")} <= 14 THEN 2 ELSE 0 END
+  WHEN regexp_matches(tl, '(?i)^\s*(annexure|appendix|schedule|exhibit)\b') AND NOT regexp_matches(tl, '\.{{2,}}\s*\d{{1,4}}\s*$') AND length(tl) <= 110 AND {_WORDS_OF.format("tl")} <= 14 THEN 3 ELSE 0 END AS hk FROM h),
+k AS (SELECT *, CASE WHEN starts_with(line, '|') THEN 'table' WHEN line = '' OR noise THEN 'gap' WHEN regexp_matches(line, '(?i)^\s*\**\s*(table of contents|contents|index)\s*\**\s*$') THEN 'contents' WHEN hk > 0 THEN 'heading' WHEN regexp_matches(line, '^[-*•] ') OR regexp_matches(line, '^[a-z]\)\s') THEN 'list' WHEN regexp_matches(line, '^\s*\*\*(.+?)\*\*\s*$') THEN 'bold' ELSE 'paragraph' END AS kind FROM c),
+r AS (SELECT *, sum(CASE WHEN kind IN ('table', 'paragraph') AND kind = before AND page = bpage THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page, pos) AS run FROM (SELECT *, lag(kind) OVER w AS before, lag(page) OVER w AS bpage FROM k WINDOW w AS (PARTITION BY doc ORDER BY page, pos))),
+a AS (SELECT doc, run, min(page) AS page, min(kind) AS kind, string_agg(line, chr(10) ORDER BY pos) AS ls, list(line ORDER BY pos) FILTER (regexp_matches(line, '[^|\-: ]')) AS told, string_agg(line, ' ' ORDER BY pos) AS joined, min(hk) AS hk, min(marks) AS marks, min(atx) AS atx, min(inum) AS inum, min(num) AS num, min(title) AS title, min(after) AS after, min(tl) AS tl FROM r WHERE kind <> 'gap' GROUP BY doc, run),
+t AS (SELECT *, kind = 'contents' OR (kind = 'table' AND len(told) >= 3 AND len(list_filter(told, lambda x: (regexp_matches(trim(string_split(trim(x, '|'), '|')[1]), '^\d+(\.\d+){{0,4}}\.?\s+\S') OR regexp_matches(trim(string_split(trim(x, '|'), '|')[1]), '(?i)^(annexure|appendix|schedule|exhibit)\b'))
+  AND regexp_matches(trim(array_to_string(list_transform(string_split(trim(x, '|'), '|')[2:], lambda y: trim(y)), ' ')), '^[.\s]*\d{{0,4}}[.\s]*$'))) >= greatest(3, CAST(floor(len(told) * 0.6) AS INT))) AS listing FROM a),
+u AS (SELECT doc, run, 0 AS sub, page, CASE WHEN kind = 'bold' THEN 'paragraph' ELSE kind END AS kind, CASE kind WHEN 'table' THEN ls WHEN 'bold' THEN trim(joined, '* ') WHEN 'heading' THEN CASE hk WHEN 1 THEN atx WHEN 2 THEN joined ELSE tl END ELSE trim(joined) END AS text,
+  CASE WHEN kind <> 'heading' THEN 0 WHEN hk = 1 THEN CASE WHEN inum <> '' THEN len(string_split(inum, '.')) ELSE length(marks) END WHEN hk = 2 THEN len(string_split(num, '.')) ELSE 1 END AS level, CASE WHEN kind <> 'heading' THEN '' WHEN hk = 1 THEN inum WHEN hk = 2 THEN num ELSE '' END AS number,
+  CASE WHEN kind <> 'heading' THEN '' WHEN hk = 1 THEN trim(CASE WHEN inum <> '' THEN regexp_extract(atx, '{_N}', 2) ELSE atx END, ' *') WHEN hk = 2 THEN trim(title, ' *') ELSE trim(tl, ' *') END AS title, CASE WHEN kind = 'heading' AND hk = 2 THEN after ELSE '' END AS after, listing, bool_or(listing) OVER (PARTITION BY doc, page) AS listed FROM t),
+v AS (SELECT doc, run, sub, page, kind, text, level, number, title, listed FROM u WHERE NOT listing UNION ALL SELECT doc, run, 1, page, 'paragraph', after, 0, '', '', listed FROM u WHERE NOT listing AND after <> ''),
+w AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY run, sub) AS under, lead(kind) OVER (PARTITION BY doc ORDER BY run, sub) AS nxt FROM v),
+x AS (SELECT *, kind = 'heading' AND sum(CASE WHEN kind = 'heading' THEN 0 ELSE length(text) END) OVER (PARTITION BY doc, under) < 40 AS empty FROM w),
+y AS (SELECT *, bool_or(empty AND (listed OR (number <> '' AND regexp_matches(text, '[\s.]+\d{{1,4}}\s*$')) OR coalesce(nxt = 'heading', false))) OVER (PARTITION BY doc, page ORDER BY run, sub) AS entry FROM x)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY run, sub) - 1 AS INT) AS pos, kind, text, page, CAST(level AS INT) AS level, number, title FROM y WHERE NOT (empty AND entry)"""
+
+
+@query("block_parse", BLOCKS_SQL)
 def block_parse(spark, d):
     return structure.blocks_of(as_markdown(spark, d).withColumnRenamed("doc_id", "doc"))
 

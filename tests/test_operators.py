@@ -46,14 +46,25 @@ MARKDOWN = "".join(
 )
 
 
-def test_parse_structure():
-    blocks = structure.parse(MARKDOWN)
-    text = " ".join(b.text for b in blocks)
+def test_parse_structure(spark):
+    docs = spark.createDataFrame([("m", MARKDOWN), ("empty", ""), ("null", None), ("unpaged", "# Title\ntext")], "doc string, markdown string")
+    rows = structure.blocks_of(docs).orderBy("pos").collect()
+    assert {r.doc for r in rows} == {"m"} and [r.pos for r in rows] == list(range(len(rows)))
+    text = " ".join(r.text for r in rows)
     assert "BANK MANUAL" not in text and "of 6" not in text and "CONTENTS" not in text
-    first = next(b for b in blocks if b.kind == "heading")
-    assert (first.number, first.title, first.page) == ("1.1", "Risk Categories", 2)
-    assert blocks[blocks.index(first) + 1].text.startswith("There are four kinds")
-    assert sum(b.kind == "table" for b in blocks) == 5 and sum(b.kind == "list" for b in blocks) == 5
+    first = next(r for r in rows if r.kind == "heading")
+    assert (first.number, first.title, first.page, first.level) == ("1.1", "Risk Categories", 2, 2)
+    assert rows[first.pos + 1].text.startswith("There are four kinds")
+    assert sum(r.kind == "table" for r in rows) == 5 and sum(r.kind == "list" for r in rows) == 5
+
+
+def test_headings_of_a_contents_list_go(spark):
+    """A bare heading goes if its page lists contents, it ends in a page number, another follows, or an entry went before."""
+    page = lambda n, body: f"<!-- page {n} | digital | x -->\n{body}\n"
+    body = "A body that is surely longer than forty characters in all."
+    text = page(1, f"1 One ... 3\n2 Two\n{body}") + page(2, f"# Kept\n{body}\n# Bare\nshort") + page(3, "# First\n# Second\nshort\n# Third\nshort") + page(2, "# Late\nshort")
+    got = structure.blocks_of(spark.createDataFrame([("d", text)], "doc string, markdown string")).where("kind = 'heading'").orderBy("pos").collect()
+    assert [r.title for r in got] == ["Two", "Kept", "Bare", "Late"]
 
 
 def test_furniture_and_index_as_frames(spark):
@@ -80,31 +91,115 @@ def test_breadcrumbs_equal_a_stack(spark):
                 assert got[d, pos] == " > ".join(t for _, t in stack)
 
 
-def test_chunks():
-    p = lambda text, page=1: structure.Piece("paragraph", text, page)
-    table = structure.Piece("table", "\n".join(f"| {i} | x |" for i in range(120)), 2)
-    head = structure.Piece("heading", "1 Scope", 1, 1, "1", "Scope")
-    sentence = "This sentence has several words in it and it ends here. "
-    out = chunking.pack([head, *(p(sentence * 20, k) for k in range(1, 8)), table, p("tiny note of only a few words more")], "doc", "Title", 2024)
-    assert all(c.text.startswith("[Title (2024) — 1 Scope]\n\n") for c in out)
+SENTENCE = "This sentence has several words in it and it ends here. "
+BLOCK = "doc string, pos int, kind string, text string, page int, level int, number string, title string"
+
+
+def chunks_of(spark, blocks, cfg=Chunking(), title="Title", year=2024):
+    """blocks: (kind, text, page[, level, number, title])."""
+    rows = [("doc", i, *b, *((0, "", "") if len(b) == 3 else ())) for i, b in enumerate(blocks)]
+    facts = spark.createDataFrame([("doc", title, "fam", year)], "doc_id string, title string, policy_family string, year int")
+    return chunking.packed(spark.createDataFrame(rows, BLOCK), facts, cfg).orderBy("ordinal").collect()
+
+
+def body(text):
+    return text.split("\n\n", 1)[1] if text.startswith("[") and "\n\n" in text else text
+
+
+def test_chunks(spark):
+    p = lambda text, page=1: ("paragraph", text, page)
+    table = ("table", "\n".join(f"| {i} | x |" for i in range(120)), 2)
+    head = ("heading", "1 Scope", 1, 1, "1", "Scope")
+    out = chunks_of(spark, [head, *(p(SENTENCE * 20, k) for k in range(1, 8)), table, p("tiny note of only a few words more")])
+    assert all(c.text.startswith("[Title (2024) — 1 Scope]\n\n") and c.section_number == "1" for c in out)
     assert sum(c.kind == "table" for c in out) >= 1 and any("| 119 | x |" in c.text and "| 0 | x |" in c.text for c in out)
     prose = [c for c in out if c.kind == "prose"]
     assert len(prose) > 1
     for a, b in zip(prose, prose[1:]):  # overlap is whole sentences of the chunk before
-        lead = chunking.body(b.text).split("\n\n")[0]
-        assert lead in chunking.body(a.text)
-    body = chunking.body(out[0].text)
-    assert out[0].chunk_id == "doc:" + hashlib.sha256(f"doc|0|1 Scope|{out[0].pages}|{body}".encode()).hexdigest()[:16]
-    assert chunking.pack([p("too few words")], "doc", "T", None) == []
-    joined = chunking.pack([head, p("Prepared by the whole office of risk:"), table], "doc", "T", None)
+        assert body(b.text).split("\n\n")[0] in body(a.text)
+    pages = "(" + ", ".join(map(str, out[0].pages)) + (",)" if len(out[0].pages) == 1 else ")")
+    assert out[0].chunk_id == "doc:" + hashlib.sha256(f"doc|0|1 Scope|{pages}|{body(out[0].text)}".encode()).hexdigest()[:16]
+    assert chunks_of(spark, [p("too few words")]) == []
+    joined = chunks_of(spark, [head, p("Prepared by the whole office of risk:"), table], year=None)
     assert len(joined) == 1 and joined[0].kind == "table"
 
 
+def plain_chunks(blocks, cfg):
+    """(text, kind, pages) of each chunk, from the rules as they are stated: no shared code with the operator."""
+    cost = lambda t: max(1, len(t) // 4)
+    trail, runs = [], [([], "")]  # enclosing headings; (blocks, section) between headings and tables
+    for kind, text, page, *h in blocks:
+        if kind == "heading":
+            trail = [x for x in trail if x[0] < h[0]] + [(h[0], f"{h[1]} {h[2]}".strip())]
+        where = " > ".join(t for _, t in trail)
+        if kind != "paragraph":
+            runs.append(([(kind, text, page)] if kind == "table" else [], where))
+            runs.append(([], where)) if kind == "table" else None
+        else:
+            runs[-1][0].append((kind, text, page))
+    made = []  # section, text, pages, kind
+    for own, where in runs:
+        last, pack = "", []
+        packs = []
+        for b in own:
+            if pack and cost("\n\n".join(x[1] for x in [*pack, b])) > cfg.target_tokens:
+                packs.append(pack)
+                pack = []
+            pack = [*pack, b]
+        for pack in [*packs, *([pack] if pack else [])]:
+            text = "\n\n".join(filter(None, [last, "\n\n".join(x[1] for x in pack)]))
+            made.append([where, f"[T — {where}]\n\n{text}" if where else f"[T]\n\n{text}", {x[2] for x in pack}, "table" if pack[0][0] == "table" else "prose"])
+            every = [x.strip() for x in re.split("(?<=[.!?])\\s+(?=[A-Z(])", text)]
+            fits = [n for n in range(2, len(every) + 1) if sum(cost(x) for x in every[-n:]) <= cfg.overlap_tokens]
+            last = "" if pack[0][0] == "table" else " ".join(every[-max([1, *fits]) :])
+    near = lambda a, b: a[0] == b[0] and cost(a[1]) + cost(b[1]) <= cfg.target_tokens * cfg.slack
+    both = lambda a, b: [a[0], f"{a[1]}\n\n{body(b[1])}", a[2] | b[2], "table" if "table" in (a[3], b[3]) else "prose"]
+    done = []
+    while made:
+        one, made = made[0], made[1:]
+        if cost(one[1]) >= cfg.min_tokens:
+            done.append(one)
+        elif made and near(one, made[0]):
+            done.append(both(one, made[0]))
+            made = made[1:]
+        elif done and near(done[-1], one):
+            done[-1] = both(done[-1], one)
+        else:
+            done.append(one)
+    return [(t, k, sorted(p)) for _, t, p, k in done if k == "table" or len(body(t).split()) >= cfg.min_words]
+
+
+def test_chunks_against_the_rules(spark):
+    """Every chunk of many random documents, recomputed plainly."""
+    rng = random.Random(5)
+    cfg = Chunking(target_tokens=60, overlap_tokens=20, min_tokens=15, min_words=4)
+    documents = {}
+    for d in range(40):
+        blocks = []
+        for _ in range(rng.randint(1, 30)):
+            x, page = rng.random(), rng.randint(1, 4)
+            if x < 0.2:
+                level = rng.randint(1, 3)
+                blocks.append(("heading", "h", page, level, rng.choice(["", "1", "2.1"]), f"Head {rng.randint(1, 9)}"))
+            elif x < 0.3:
+                blocks.append(("table", "| a | b |\n" * rng.randint(1, 20) + "| c |", page))
+            else:
+                blocks.append(("paragraph", " ".join(rng.choice(["A short one.", "Yes.", "This sentence is of middling length, no more.", "no end", "(Why not?) Because it is so."]) for _ in range(rng.randint(1, 7))), page))
+        documents[f"d{d}"] = blocks
+    rows = [(d, i, *b, *((0, "", "") if len(b) == 3 else ())) for d, bs in documents.items() for i, b in enumerate(bs)]
+    facts = spark.createDataFrame([(d, "T", "f", None) for d in documents], "doc_id string, title string, policy_family string, year int")
+    got = {}
+    for r in chunking.packed(spark.createDataFrame(rows, BLOCK), facts, cfg).orderBy("ordinal").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.kind, r.pages))
+    assert sum(map(len, got.values())) > 200
+    for d, bs in documents.items():
+        assert got.get(d, []) == plain_chunks(bs, cfg), d
+
+
 def test_chunked_frame(spark):
     docs = spark.createDataFrame([("a", "A", "fam", 2024, MARKDOWN), ("b", "B", "", None, ""), ("c", "C", "", None, None)], "doc_id string, title string, policy_family string, year int, markdown string")
     rows = chunking.chunked(docs, Chunking(min_tokens=1)).collect()
     assert {r.doc_id for r in rows} == {"a"} and len({r.chunk_id for r in rows}) == len(rows)
-    assert structure.blocks_of(docs.select(F.col("doc_id").alias("doc"), "markdown")).count() == len(structure.parse(MARKDOWN))
 
 
 # Keyword search beside SQLite's FTS5 ------------------------------------------------------------------------------
