@@ -104,6 +104,19 @@ def rerank_text(title: Column, circular: Column, section: Column, text: Column)
     return F.when(head == "", text).otherwise(F.concat(head, F.lit("\n"), text))
 
 
+def candidates(hits: DataFrame, questions: DataFrame, chunks: DataFrame, most: int = 200_000) -> DataFrame:
+    """hits (qid, chunk_id, ...) with their question's and chunk's columns. Up to ``most`` hits are broadcast to the chunks,
+    so of those only the rows that were hit are kept where they are read; more are joined by a shuffle."""
+    asked = hits.join(questions, "qid").persist()
+    few = asked.limit(most + 1).count() <= most
+    return chunks.join(F.broadcast(asked) if few else asked, "chunk_id")
+
+
+def scored(rows: DataFrame, score: Column) -> DataFrame:
+    """rows with ``score``, computed once for each row, before anything filters by it or sorts."""
+    return rows.withColumn("score", F.get(F.transform(F.array(score), lambda s: s), F.lit(0))).withColumn("score", F.col("score"))
+
+
 def overlap_score(question: Column, passage: Column) -> Column:
     """Share of the question's distinct words that the passage has."""
     q = F.array_distinct(words(F.lower(question)))

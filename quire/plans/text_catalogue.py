@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quire.functions.vectors import fingerprint, hashing_embedder
 from quire.operators import answer, audit, chunking, keyword, retrieve, structure
 from quire.plans.catalogue import RECORDS_SQL, derived, query, records, t
 from quire.sources.files import markdown_of
+from quire.sources.scratch import shared_folder
 
 # Structure ----------------------------------------------------------------------------------------------------------
 
@@ -349,9 +352,28 @@ BM25_SQL = bm25_sql("SELECT item_id AS qid, text AS question FROM benchmark")
 PHRASES_SQL = "SELECT item_id AS qid, replace(text, ' ', '-') AS question FROM (SELECT item_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:2], ' ') AS text FROM benchmark)"
 
 
-def searched(spark, d, questions, stem=False):
-    chunks = chunk_rows(spark, d)
-    return keyword.bm25(keyword.index(chunks), keyword.lengths(chunks), questions, stem=stem)
+_INDEXES: dict[tuple, str] = {}
+
+
+def search_index(spark, d, fields=("text",)):
+    """(tokens, sizes) of the written index of the chunks of d: written by the first query of an application that asks, and
+    anew when the files below d have changed."""
+    state = spark.read.parquet(f"{d}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, d, fields, frozenset(map(tuple, state.collect())))
+    if key not in _INDEXES:
+        where = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        keyword.write_index(fielded(spark, d) if len(fields) > 1 else chunk_rows(spark, d), where, fields)
+        _INDEXES[key] = where
+    return keyword.open_index(spark, _INDEXES[key])
+
+
+def fielded(spark, d):
+    """Chunks with a section and an identifier, as three fields are searched."""
+    return chunk_rows(spark, d).withColumns({"section": F.concat_ws(" ", F.lit("Notes on"), "policy_family", F.lit("limits")), "identifiers": F.concat(F.lit("A-INST-"), F.col("year").cast("string"), F.lit("-"), F.col("chunk_id").cast("string"))})
+
+
+def searched(spark, d, questions, stem=False, fields=("text",)):
+    return keyword.bm25(*search_index(spark, d, fields), questions, stem=stem)
 
 
 @query("bm25_topk", f"SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({BM25_SQL})")
@@ -367,7 +389,14 @@ def bm25_phrase(spark, d):
 
 @query("bm25_stemmed")
 def bm25_stemmed(spark, d):
-    return searched(spark, d, question_rows(spark, d), stem=True)
+    """By stems, over text, section and identifiers with their weights."""
+    return searched(spark, d, stemmed_questions(spark, d), stem=True, fields=("text", "section", "identifiers"))
+
+
+def stemmed_questions(spark, d):
+    """Some ask for the limits of an edition by its identifier, too."""
+    asked = F.when(F.col("qid") % 3 == 0, F.concat_ws(" ", "question", F.lit("limit A-INST-2024-"))).otherwise(F.col("question"))
+    return question_rows(spark, d).select("qid", asked.alias("question"))
 
 
 DENSE_SQL = """SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -409,9 +438,12 @@ SELECT *, CASE WHEN dense_rank IS NULL THEN 'keyword' WHEN keyword_rank IS NULL
 
 def fused_lists(spark, d):
     v, asked = vectors(spark, d)
-    e = t(spark, d, "embeddings")
-    pairs = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("l")).crossJoin(F.broadcast(asked.select("qid", "label")))
-    second = keyword.top(pairs.select("qid", "chunk_id", (-F.abs(F.col("l") - F.col("label"))).alias("score")), 30)
+    # Only the first 30 chunks of a label can be among a question's 30: a label's rows are cut before labels meet.
+    w = Window.partitionBy("doc_id").orderBy("chunk_id")
+    least = v.select("doc_id", "chunk_id").withColumn("n", F.row_number().over(w)).where("n <= 30").groupBy("doc_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
+    labels = asked.select("label").distinct().join(least).select("label", F.abs(F.col("doc_id") - F.col("label")).alias("away"), F.explode("chunks").alias("chunk_id"))
+    first = labels.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("away", "chunk_id"))).where("rank <= 30")
+    second = asked.select("qid", "label").join(first, "label").select("qid", "chunk_id", "rank")
     return retrieve.fuse(retrieve.dense(v, asked), second)
 
 
@@ -431,8 +463,8 @@ STRICT = Retrieval(min_score=0.5)
 
 def reranked(spark, d, hits=None):
     hits = searched(spark, d, question_rows(spark, d)) if hits is None else hits
-    rows = hits.select("qid", "chunk_id", F.col("rank").alias("fused_rank")).join(question_rows(spark, d), "qid").join(chunk_rows(spark, d), "chunk_id")
-    return rows.withColumn("score", retrieve.overlap_score(F.col("question"), F.col("text")))
+    rows = retrieve.candidates(hits.select("qid", "chunk_id", F.col("rank").alias("fused_rank")), question_rows(spark, d), chunk_rows(spark, d))
+    return retrieve.scored(rows, retrieve.overlap_score(F.col("question"), F.col("text")))
 
 
 @query("rerank_overlap", f"SELECT qid, chunk_id, round(score, 6) AS score FROM ({OVERLAP_SQL})")
