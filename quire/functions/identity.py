@@ -42,3 +42,28 @@ def identity(name: Column) -> Column:
         slug(stem(name)).alias("doc_id"), F.when(title != "", title).otherwise(stem(name)).alias("title"), name.alias("source_name"),
         slug(family).alias("policy_family"), year.alias("year"), circular.alias("circular"),
     )
+
+
+#: Fixed value: the namespace for URLs of RFC 4122.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The name-based UUID (version 5): the SHA-1 of namespace and name, with version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def nfkc():
+    """A pandas UDF text -> its NFKC form, for names of files (no built-in function normalises)."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: unicodedata.normalize("NFKC", n), na_action="ignore")
+
+    return run

@@ -92,3 +92,23 @@ def event_rows(results: DataFrame, answers: DataFrame) -> DataFrame:
     told = F.array(*head, row("delta", audit(F.col("text"), n)["clean"]), row("done", F.lit("answered")))
     events = F.when(F.col("refused"), refused).when(F.col("text").isNull(), failed).otherwise(told)
     return joined.select("qid", F.posexplode(events).alias("seq", "e")).select("qid", "seq", "e.kind", "e.payload")
+
+
+def messages(passages: DataFrame, questions: DataFrame) -> DataFrame:
+    """qid, system, user of each question that has passages: what a chat model is sent."""
+    return prompts(passages, questions).select("qid", F.lit(RULES).alias("system"), F.col("prompt").alias("user"))
+
+
+def sources(passages: DataFrame, most: int = 240) -> DataFrame:
+    """What is shown of each passage: its number, document, section, page, edition, the beginning of its text, its score."""
+    shown = F.when(F.length("text") > most, F.concat(F.rtrim(F.left("text", F.lit(most))), F.lit("…"))).otherwise(F.col("text"))
+    return passages.select("qid", F.col("place").alias("n"), "doc_id", "title", "section", "page", "year", "superseded", shown.alias("excerpt"), F.round("score", 4).alias("score"))
+
+
+def whole(results: DataFrame, said: DataFrame) -> DataFrame:
+    """qid, status, text, cited of each question: the audited answer, the refusal, or an error where a model said nothing."""
+    n = F.size("passages")
+    rows = results.join(said.select("qid", F.col("text").alias("said")), "qid", "left").withColumn("a", audit(F.coalesce("said", F.lit("")), n))
+    status = F.when(F.col("refused"), "refused").when(F.coalesce(strip(F.col("said")), F.lit("")) == "", "error").otherwise("answered")
+    none = F.array().cast("array<int>")
+    return rows.select("qid", status.alias("status"), F.when(F.col("refused"), REFUSAL).when(status == "error", "").otherwise(F.col("a.clean")).alias("text"), F.when(status == "answered", F.col("a.cited")).otherwise(none).alias("cited"))

@@ -74,3 +74,19 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return difflib.SequenceMatcher(None, theirs, ours).ratio() if len(theirs) >= 60 and ours else None
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def prior_findings(records: DataFrame, prior: DataFrame, least: float = 0.55) -> DataFrame:
+    """The finding ``disagrees-with-prior-ocr`` of each record (document, page, text) whose page had a text layer (document,
+    page, prior) that reads otherwise."""
+    both = records.join(prior.select("document", "page", "prior"), ["document", "page"]).withColumn("share", agreement("prior", "text"))
+    told = F.format_string("agrees with the page's own text layer in %d %% of words", F.round(F.col("share") * 100).cast("int"))
+    return both.where(F.col("share") < least).select("document", "page", F.lit("warning").alias("severity"), F.lit("disagrees-with-prior-ocr").alias("check"), told.alias("detail"))
+
+
+def report(records: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: pages, pages without a finding, errors, warnings, documents with an error."""
+    pages = records.where("strategy <> 'skip'").select("document", "page").distinct()
+    marked = found.select("document", "page").distinct()
+    counts = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.countDistinct(F.when(F.col("severity") == "error", F.col("document"))).alias("documents_with_errors"))
+    return pages.agg(F.count("*").alias("pages")).join(pages.join(marked, ["document", "page"], "left_anti").agg(F.count("*").alias("clean_pages"))).join(counts)

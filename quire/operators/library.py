@@ -105,3 +105,51 @@ def latest_jobs(events: DataFrame, key: str, order: list[str], most: int | None
 def upload_verdict(length: Column, head: Column, known: Column, limit: int) -> Column:
     """HTTP-like code of an upload: 400 empty, 413 too large, 415 no PDF, 409 known name, else 202."""
     return F.when(length == 0, 400).when(length > limit, 413).when(F.substring(head, 1, 5) != F.lit("%PDF-"), 415).when(known, 409).otherwise(202)
+
+
+def by_id(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """The documents of the asked ids (doc_id); unknown ids have no row."""
+    return docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def by_hash(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """sha256, doc_id of each asked hash: the least id where several documents have it, null where none has."""
+    known = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
+    return hashes.select("sha256").distinct().join(known, "sha256", "left")
+
+
+def vintages(docs: DataFrame, family: str) -> DataFrame:
+    """The editions of a family, newest first, unknown years last."""
+    return docs.where(F.col("policy_family") == family).orderBy(F.col("year").desc_nulls_last(), "doc_id")
+
+
+def set_status(docs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """docs with the changes (doc_id, status, error) taken over; of several changes of a document the last by ``seq``."""
+    last = changes.groupBy("doc_id").agg(F.max(F.struct("seq", F.col("status").alias("to"), F.col("error").alias("why"))).alias("c"))
+    out = docs.join(last, "doc_id", "left")
+    hit = F.col("c").isNotNull()
+    told = out.withColumns({"status": F.when(hit, F.col("c.to")).otherwise(F.col("status")), "error": F.when(hit, F.col("c.why")).otherwise(F.col("error")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+    return told.drop("c").select(*docs.columns)
+
+
+def chunk_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, n_chunks of every document, without chunks too."""
+    return docs.select("doc_id").join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+def health(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: documents, those ready, chunks."""
+    return docs.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "ready").alias("ready")).join(chunks.agg(F.count("*").alias("chunks")))
+
+
+def job_lists(jobs: DataFrame, finished: int = 3) -> DataFrame:
+    """Jobs (job, state, seq) with ``list``: all that run, and the last ``finished`` that ended otherwise than ready."""
+    running = jobs.where(~F.col("state").isin("ready", "failed", "duplicate")).withColumn("list", F.lit("running"))
+    ended = jobs.where(F.col("state").isin("failed", "duplicate")).orderBy(F.desc("seq"), "job").limit(finished).withColumn("list", F.lit("ended"))
+    return running.unionByName(ended)
+
+
+def recorded_hashes(docs: DataFrame, records: DataFrame) -> DataFrame:
+    """doc_id, sha256: the hash that a document's page records state, null where there are none."""
+    stated = records.groupBy(F.col("document").alias("doc_id")).agg(F.max("sha256").alias("sha256"))
+    return docs.select("doc_id").join(stated, "doc_id", "left")

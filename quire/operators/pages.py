@@ -62,7 +62,7 @@ def table_likeness(rules: Column, repeated_columns: Column) -> Column:
 
 
 def route(density: Column, raster: Column, garble: Column, full_page: Column, tables: Column, cfg: Routing = Routing()) -> Column:
-    """kind, strategy, has_prior_text and the number of the first rule that holds."""
+    """kind, strategy, has_prior_text, the number of the first rule that holds, and its reason in words."""
     sparse, rastered, garbled, has_text = density < cfg.scan_density, raster >= cfg.raster_share, garble >= cfg.garble, density >= cfg.text_density
     rules = [
         (~has_text & ~rastered, "empty", "skip", F.lit(False), "1"),
@@ -75,9 +75,15 @@ def route(density: Column, raster: Column, garble: Column, full_page: Column, ta
         (tables > 0, "digital", "ocr", F.lit(False), "7"),
         (F.lit(True), "digital", "text-layer", F.lit(False), "8"),
     ]
+    share = lambda c: F.format_string("%.0f %%", c * 100)
+    why = {
+        "1": F.lit("no text and no picture"), "2a": F.lit("a scan with a text layer that is trusted"), "2b": F.lit("one picture covers the page"),
+        "3": F.concat(F.lit("text reads as noise in "), share(garble)), "4": F.concat(F.lit("little text, pictures on "), share(raster)), "5": F.lit("little text"),
+        "6": F.concat(F.lit("text and pictures on "), share(raster)), "7": F.concat(F.lit("holds "), tables.cast("string"), F.when(tables == 1, " table").otherwise(" tables")), "8": F.lit("dense text"),
+    }
     out = None
     for holds, kind, strategy, prior, rule in reversed(rules):
-        value = F.struct(F.lit(kind).alias("kind"), F.lit(strategy).alias("strategy"), prior.alias("has_prior_text"), F.lit(rule).alias("rule"))
+        value = F.struct(F.lit(kind).alias("kind"), F.lit(strategy).alias("strategy"), prior.alias("has_prior_text"), F.lit(rule).alias("rule"), why[rule].alias("reason"))
         out = value if out is None else F.when(holds, value).otherwise(out)
     return out
 
@@ -128,3 +134,9 @@ def bench_picks(scored: DataFrame, key: str = "doc", page: str = "page") -> Data
             used.add(chosen[key])
             picks.append((kind, chosen[key], -chosen.best.p, round(chosen.best.s, 3)))
     return spark.createDataFrame(picks, f"category string, {key} string, {page} long, score double")
+
+
+def char_density(chars: Column, width: Column, height: Column) -> Column:
+    """Characters per square inch of a page measured in points; 0 for a page without area."""
+    area = width * height / (72.0 * 72.0)
+    return F.when(area > 0, chars / area).otherwise(0.0)

@@ -167,3 +167,22 @@ def results(questions: DataFrame, marked: DataFrame) -> DataFrame:
         "qid", F.coalesce("passages", none).alias("passages"), F.coalesce("document_count", F.lit(0)).alias("document_count"),
         F.coalesce("vintage_conflicts", none).alias("vintage_conflicts"), F.col("passages").isNull().alias("refused"),
     )
+
+
+def with_facts(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found with its document's title, circular, family and year; a document that the registry does not know is titled by its id."""
+    facts = docs.select("doc_id", "title", "circular", "policy_family", "year")
+    out = found.join(facts, "doc_id", "left")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return out.withColumns({"title": F.coalesce("title", F.col("doc_id").cast("string")), "circular": blank("circular"), "policy_family": blank("policy_family")})
+
+
+def stage_counts(questions: DataFrame, **stages: DataFrame) -> DataFrame:
+    """Per question how many rows each named stage kept, and ``reason`` why it is refused: blank question, nothing found,
+    nothing above the threshold (the last stage), else null."""
+    out = questions.select("qid", (F.coalesce(F.btrim("question"), F.lit("")) == "").alias("blank"))
+    for name, rows in stages.items():
+        out = out.join(rows.groupBy("qid").agg(F.count("*").alias(name)), "qid", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    last = [*stages][-1]
+    reason = F.when(F.col("blank"), "blank question").when(F.greatest(*(F.col(s) for s in stages)) == 0, "nothing found").when(F.col(last) == 0, "nothing above the threshold")
+    return out.select("qid", *stages, reason.alias("reason"))

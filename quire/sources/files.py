@@ -60,3 +60,33 @@ def markdown_of(records: DataFrame) -> DataFrame:
     head = F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" | "), "kind", F.lit(" | "), F.coalesce("engine", F.lit("")), F.lit(" -->\n\n"))
     pages = records.where("strategy <> 'skip'").groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", F.concat(head, note).alias("t")))).alias("p"))
     return pages.select("document", F.concat(F.lit("<!-- source: "), "document", F.lit(" -->\n\n"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n")).alias("markdown"))
+
+
+def write_sidecars(records: DataFrame, path: str) -> None:
+    """Page records below ``path``, one folder per document, added page by page: what is written stays when a later page fails,
+    and a page that is written again stands beside its old record until ``latest_sidecars`` picks the newer."""
+    records.write.mode("append").partitionBy("document").json(path)
+
+
+def latest_sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest record of each document and page (by extracted_at) of what ``write_sidecars`` wrote."""
+    rows = spark.read.schema(schema).json(path)
+    newest = rows.groupBy("document", "page").agg(F.max_by(F.struct("*"), "extracted_at").alias("r"))
+    return newest.select("r.*")
+
+
+def remove_files(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """Removes files of exactly these names that stand in the folder itself, in any store that Spark knows; what was removed.
+
+    A name with a separator or of a folder above is refused, so nothing outside the folder can go."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for name in names:
+        if not name or "/" in name or "\\" in name or name in (".", ".."):
+            raise ValueError(f"not the name of a file: {name!r}")
+        file = jvm.org.apache.hadoop.fs.Path(base, name)
+        if fs.exists(file) and fs.getFileStatus(file).isFile() and fs.delete(file, False):
+            gone.append(name)
+    return gone

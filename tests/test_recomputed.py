@@ -136,3 +136,44 @@ def test_hybrid_search(spark, texts, duck):
             assert list(got[q].passages) == want, q
             assert got[q].refused == (not want) and got[q].document_count == len(want)
             assert list(got[q].vintage_conflicts) == sorted({source[i] for i in want if old(i)})
+
+
+def test_prior_findings(spark, duck):
+    words = lambda t: re.findall("[a-z0-9]+", "".join(c if c.isascii() else " " for c in t.lower()))
+    from quire.plans import catalogue
+
+    want = set()
+    for r in catalogue.records(spark, D).where("strategy <> 'skip'").collect():
+        prior = r.text if r.page % 3 == 0 else " ".join(reversed(r.text.split(" ")))
+        a, b = words(prior), words(r.text)
+        share = difflib.SequenceMatcher(None, a, b).ratio() if len(a) >= 60 and b else 1
+        if share < 0.55:
+            want.add((r.document, r.page, "warning", "disagrees-with-prior-ocr"))
+    got = entry.queries()["prior_findings"](spark, D).collect()
+    assert want and {(r.document, r.page, r.severity, r.check) for r in got} == want and len(got) == len(want)
+
+
+def test_uuid5_is_that_of_the_standard(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from quire.functions.identity import nfkc, uuid5
+
+    names = ["", "a", "doc:12", "Zürich ﬁ", "x" * 500]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", uuid5(F.col("n")).alias("id"), nfkc()("n").alias("k")).collect()
+    assert [r.id for r in rows] == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names] and rows[3].k == "Zürich fi"
+
+
+def test_sidecars_and_removal_of_files(spark, tmp_path):
+    from quire.sources import files
+
+    where, schema = str(tmp_path / "side"), "document string, page int, text string, extracted_at string"
+    files.write_sidecars(spark.createDataFrame([("d", 1, "old", "1"), ("e", 1, "x", "1")], schema), where)
+    files.write_sidecars(spark.createDataFrame([("d", 1, "new", "2"), ("d", 2, "more", "2")], schema), where)
+    assert {(r.document, r.page, r.text) for r in files.latest_sidecars(spark, where, schema).collect()} == {("d", 1, "new"), ("d", 2, "more"), ("e", 1, "x")}
+    for n in ("a.md", "b.json"):
+        (tmp_path / n).write_text("x")
+    assert files.remove_files(spark, str(tmp_path), ["a.md", "none.md", "side"]) == ["a.md"] and (tmp_path / "b.json").exists() and (tmp_path / "side").exists()
+    with pytest.raises(ValueError):
+        files.remove_files(spark, str(tmp_path), ["../b.json"])
