@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +61,6 @@ def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
 
 def nfkc():
     """A pandas UDF text -> its NFKC form, for names of files (no built-in function normalises)."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(names: pd.Series) -> pd.Series:

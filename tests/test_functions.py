@@ -37,8 +37,11 @@ def test_sentences_and_tail(spark):
     assert one(spark, text, lambda c: tx.overlap_tail(c, 0)) == ""
 
 
-def test_tail_equals_the_walk(spark):
-    from quire.operators.chunking import tail
+def test_tail_is_the_longest_end_that_fits(spark):
+    def tail(text, budget):
+        every = [x.strip() for x in re.split("(?<=[.!?])\\s+(?=[A-Z(\"'“])", text) if x.strip()]
+        fits = [n for n in range(len(every) + 1) if sum(max(1, len(x) // 4) for x in every[len(every) - n :]) <= budget]
+        return " ".join(every[len(every) - max(max(fits), min(1, len(every))) :])
 
     rng = random.Random(1)
     for _ in range(8):
