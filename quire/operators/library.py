@@ -14,7 +14,7 @@ def copies(files: DataFrame, digest: str = "sha256", name: str = "name") -> Data
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     rank = F.struct(stem.rlike(r"\(\d+\)\s*$").cast("int").alias("suffix"), F.length(stem).alias("n"), F.lower(stem).alias("lower"), F.col(name).alias("name"))
     best = files.groupBy(digest).agg(F.min(rank).alias("__best"))
-    out = files.join(best, digest)
+    out = files.join(best, digest, "left")  # a file without a digest is no copy
     return out.withColumn("duplicate_of", F.when(F.col("__best.name") != F.col(name), F.col("__best.name"))).drop("__best")
 
 

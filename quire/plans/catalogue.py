@@ -324,18 +324,14 @@ def unfinished_deletions(spark, d):
     return library.unfinished(derived(spark, d, LIBRARY))
 
 
-GUARDS = [("a:8", "a:8", 5, False), (None, "a:8", 0, False), (None, "a:8", 3, False), ("b:8", "a:8", 3, False), ("b:8", "a:8", 3, True), ("a:8", "a:8", 3, True)]
 
 
-@query(
-    "embedder_guard",
-    "SELECT id, CASE WHEN r AND (s IS NULL OR s <> c) THEN 'rebuild' WHEN s = c THEN 'ok' WHEN s IS NULL AND n = 0 THEN 'stamp' ELSE 'refuse' END AS decision FROM (VALUES "
-    + ", ".join(f"({i}, {_sqlstr(s) if s else 'NULL'}, '{c}', {n}, {str(r).lower()})" for i, (s, c, n, r) in enumerate(GUARDS))
-    + ") AS g(id, s, c, n, r)",
-)
+GUARD_ROWS = "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN CAST(NULL AS STRING) WHEN doc_id % 4 = 1 THEN lang ELSE 'hashing:64' END AS s, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'hashing:64' END AS c, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars END AS n, doc_id % 7 = 0 AS r FROM documents"
+
+
+@query("embedder_guard", f"SELECT id, CASE WHEN r AND (s IS NULL OR s <> c) THEN 'rebuild' WHEN s = c THEN 'ok' WHEN s IS NULL AND n = 0 THEN 'stamp' ELSE 'refuse' END AS decision FROM ({GUARD_ROWS})")
 def embedder_guard(spark, d):
-    rows = spark.createDataFrame([(i, *g) for i, g in enumerate(GUARDS)], "id int, s string, c string, n long, r boolean")
-    return rows.select("id", library.embedder_decision(F.col("s"), F.col("c"), F.col("n"), F.col("r")).alias("decision"))
+    return derived(spark, d, GUARD_ROWS).select("id", library.embedder_decision(F.col("s"), F.col("c"), F.col("n"), F.col("r")).alias("decision"))
 
 
 @query("migrate_identifiers", f"SELECT d.doc_id AS chunk_id, coalesce(l.circular, '') AS identifiers FROM documents d LEFT JOIN (SELECT doc_id, concat('C-', doc_id) AS circular FROM ({LIBRARY}) WHERE year = 2024) l ON CAST(d.doc_id AS STRING) = l.doc_id")

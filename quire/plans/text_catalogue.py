@@ -50,34 +50,41 @@ def contents_index(spark, d):
     return structure.contents_index(made)
 
 
-TABLES = (
-    ("1", "| 1.1 Purpose | 3 |\n|---|---|\n| 1.2 Scope | ... |\n| Annexure A | |"), ("2", "| Name | Amount |\n|---|---|\n| Fee | 100 |\n| Tax | 20 |"),
-    ("3", "| 1. One | 1 |\n| 2. Two | 2 |"), ("4", "| 1. One | 1 |\n| 2. Two | 2 |\n| 3. Three | text here |\n| 4. Four | 9 |"),
-)
+#: A pipe table per document: of two to five rows, entries of a contents list or data.
+TABLE_ROWS = """SELECT doc_id, concat(CASE WHEN doc_id % 6 = 5 THEN '' ELSE concat('| ', CAST(doc_id % 9 AS STRING), '.1 Purpose | ', CAST(doc_id % 300 AS STRING), ' |', chr(10)) END, '|---|---|', chr(10), CASE WHEN doc_id % 4 = 0 THEN '| Fee | 100 |' WHEN doc_id % 4 = 1 THEN '| Annexure A | |' ELSE concat('| 2. Scope | ... ', CAST(doc_id % 70 AS STRING), ' |') END, chr(10),
+  CASE WHEN doc_id % 5 = 0 THEN concat('| 3. Three | ', lang, ' |') ELSE concat('| 3. Three | ', CAST(doc_id AS STRING), ' |') END, CASE WHEN doc_id % 7 = 0 THEN concat(chr(10), '| schedule 4 | 9 |', chr(10), '| ', source, ' | 20 |') ELSE '' END) AS body FROM documents"""
 
 
-@query("contents_table_flag", "SELECT * FROM (VALUES ('1', true), ('2', false), ('3', false), ('4', true)) AS v(id, is_contents)")
+@query(
+    "contents_table_flag",
+    rf"""WITH r AS (SELECT doc_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^|\-: ]')) AS told FROM ({TABLE_ROWS})),
+c AS (SELECT doc_id, told, len(list_filter(told, lambda x: (regexp_matches(trim(string_split(trim(x, '|'), '|')[1]), '^\d+(\.\d+){{0,4}}\.?\s+\S') OR regexp_matches(trim(string_split(trim(x, '|'), '|')[1]), '(?i)^(annexure|appendix|schedule|exhibit)\b'))
+  AND regexp_matches(trim(array_to_string(list_transform(string_split(trim(x, '|'), '|')[2:], lambda y: trim(y)), ' ')), '^[.\s]*\d{{0,4}}[.\s]*$'))) AS hits FROM r)
+SELECT doc_id, len(told) >= 3 AND hits >= greatest(3, CAST(floor(len(told) * 0.6) AS INT)) AS is_contents FROM c""",
+)
 def contents_table_flag(spark, d):
-    return spark.createDataFrame(TABLES, "id string, body string").select("id", tx.is_contents_table(F.col("body")).alias("is_contents"))
+    return derived(spark, d, TABLE_ROWS).select("doc_id", tx.is_contents_table(F.col("body")).alias("is_contents"))
 
 
 HEADINGS = ("# Title", "## 2.1 Scope of it", "1. INTRODUCTION", "1.2.3 Risk Limits", "12 | Page", "Annexure B – Forms", "Appendix 2 Form......12", "plain prose line", "3. " + "word " * 20, "### " + "w " * 15)
+_HEADED = "CASE " + " ".join(f"WHEN pos = 0 AND page % 20 = {i} THEN '{h}'" for i, h in enumerate(HEADINGS)) + " ELSE line END"
 
 
 @query(
     "heading_classify",
-    r"""WITH l AS (SELECT unnest(["""
-    + ", ".join("'" + h + "'" for h in HEADINGS)
-    + r"""]) AS line),
-f AS (SELECT line, regexp_extract(line, '^\s*(#{1,6})\s+(\S.*?)\s*#*\s*$', 1) AS marks, regexp_extract(line, '^\s*(#{1,6})\s+(\S.*?)\s*#*\s*$', 2) AS atx, regexp_extract(line, '^\s*(\d+(?:\.\d+){0,4})\.?\s+(\S.*)$', 1) AS num, trim(regexp_extract(line, '^\s*(\d+(?:\.\d+){0,4})\.?\s+(\S.*)$', 2)) AS rest, trim(line, ' *') AS bare FROM l),
-g AS (SELECT *, regexp_extract(atx, '^\s*(\d+(?:\.\d+){0,4})\.?\s+(\S.*)$', 1) AS inner_num, regexp_extract(atx, '^\s*(\d+(?:\.\d+){0,4})\.?\s+(\S.*)$', 2) AS inner_rest, len(regexp_split_to_array(trim(atx), '\s+')) AS aw, len(regexp_split_to_array(rest, '\s+')) AS rw, len(regexp_split_to_array(bare, '\s+')) AS bw FROM f)
-SELECT line, CASE WHEN marks <> '' THEN CASE WHEN aw <= 14 THEN CASE WHEN inner_num <> '' THEN len(string_split(inner_num, '.')) ELSE length(marks) END END
+    r"""WITH l AS (SELECT doc, page, pos, """
+    + _HEADED
+    + rf""" AS line FROM ({LINES_SQL})),
+f AS (SELECT *, regexp_extract(line, '^\s*(#{{1,6}})\s+(\S.*?)\s*#*\s*$', 1) AS marks, regexp_extract(line, '^\s*(#{{1,6}})\s+(\S.*?)\s*#*\s*$', 2) AS atx, regexp_extract(line, '^\s*(\d+(?:\.\d+){{0,4}})\.?\s+(\S.*)$', 1) AS num, trim(regexp_extract(line, '^\s*(\d+(?:\.\d+){{0,4}})\.?\s+(\S.*)$', 2)) AS rest, trim(line, ' *') AS bare FROM l),
+g AS (SELECT *, regexp_extract(atx, '^\s*(\d+(?:\.\d+){{0,4}})\.?\s+(\S.*)$', 1) AS inner_num, len(regexp_split_to_array(trim(atx), '\s+')) AS aw, len(regexp_split_to_array(rest, '\s+')) AS rw, len(regexp_split_to_array(bare, '\s+')) AS bw FROM f)
+SELECT page, pos, CAST(CASE WHEN marks <> '' THEN CASE WHEN aw <= 14 THEN CASE WHEN inner_num <> '' THEN len(string_split(inner_num, '.')) ELSE length(marks) END END
   WHEN num <> '' THEN CASE WHEN regexp_matches(rest, '^[*"''“(\[]*[A-Za-z]') AND length(rest) <= 110 AND rw <= 14 THEN len(string_split(num, '.')) END
-  WHEN regexp_matches(bare, '(?i)^(annexure|appendix|schedule|exhibit)\b') AND NOT regexp_matches(bare, '\.{2,}\s*\d{1,4}\s*$') AND bw <= 14 THEN 1 END AS level FROM g""",
+  WHEN regexp_matches(bare, '(?i)^(annexure|appendix|schedule|exhibit)\b') AND NOT regexp_matches(bare, '\.{{2,}}\s*\d{{1,4}}\s*$') AND length(bare) <= 110 AND bw <= 14 THEN 1 END AS BIGINT) AS level FROM g""",
 )
 def heading_classify(spark, d):
-    lines = spark.createDataFrame([(h,) for h in HEADINGS], "line string")
-    return lines.select("line", structure.heading(F.col("line"))["level"].cast("long").alias("level"))
+    """Every line of every document; the first of half of them is a heading or almost one."""
+    lines = doc_lines(spark, d).withColumn("line", F.expr(_HEADED))
+    return lines.select("page", F.col("pos").cast("long").alias("pos"), structure.heading(F.col("line"))["level"].cast("long").alias("level"))
 
 
 BLOCKS = "SELECT source AS doc, doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CAST(1 + (doc_id * 7) % 4 AS INT) AS level, CAST(doc_id % 10 AS STRING) AS number, concat('T', CAST(doc_id AS STRING)) AS title FROM documents"
@@ -142,15 +149,12 @@ def page_segments(spark, d):
     return structure.segments(t(spark, d, "documents").select(F.col("doc_id").alias("doc"), body.alias("markdown"))).select("doc", "page", F.length("segment").cast("long").alias("n"))
 
 
-@query("text_layer", r"WITH b AS (SELECT doc_id // 10 AS page, CAST((doc_id * 7) % 10 AS DOUBLE) AS y, CAST(doc_id % 3 AS DOUBLE) AS x, trim(regexp_replace(regexp_replace(left(text, 60), '\s*\n\s*', ' ', 'g'), '[ \t]{2,}', ' ', 'g')) AS t FROM documents) SELECT page, string_agg(t, chr(10) || chr(10) ORDER BY y, x, t) FILTER (t <> '') AS text FROM b GROUP BY page")
+@query(
+    "text_layer",
+    r"""WITH b AS (SELECT doc_id // 10 AS page, CAST((doc_id * 7) % 10 AS DOUBLE) AS y, CAST(doc_id % 3 AS DOUBLE) AS x, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '\.{4,}', '...', 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)
+SELECT page, string_agg(t, chr(10) || chr(10) ORDER BY y, x, t) FILTER (t <> '') AS text FROM b GROUP BY page""",
+)
 def text_layer(spark, d):
-    b = t(spark, d, "documents").selectExpr("doc_id div 10 AS page", "CAST((doc_id * 7) % 10 AS DOUBLE) AS y", "CAST(doc_id % 3 AS DOUBLE) AS x", "left(text, 60) AS text")
-    return structure.text_layer(b, ["page"])
-
-
-@query("text_layer_whole")
-def text_layer_whole(spark, d):
-    """As text_layer, over whole texts."""
     b = t(spark, d, "documents").selectExpr("doc_id div 10 AS page", "CAST((doc_id * 7) % 10 AS DOUBLE) AS y", "CAST(doc_id % 3 AS DOUBLE) AS x", "text")
     return structure.text_layer(b, ["page"])
 

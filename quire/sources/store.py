@@ -6,42 +6,73 @@ takes the newest pointer, so it sees all tables of one state; a change that dies
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.library import embedder_decision, replace_rows, unfinished, without
 
 
+class Conflict(RuntimeError):
+    """Another writer published in between; nothing of this change is visible."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _versions(self) -> list[tuple[int, int]]:
+        """(version, bytes) of the pointers, newest first, from their names alone."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        found = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(folder)]
+        return sorted(((int(n[1:-5]), size) for n, size in found if n.startswith("v") and n.endswith(".json")), reverse=True)
+
     def _state(self) -> tuple[int, dict[str, str]]:
-        try:
-            rows = self.spark.read.schema("version long, tables map<string,string>").json(f"{self.path}/pointers")
-            last = rows.where("version IS NOT NULL").orderBy(F.desc("version")).limit(1).collect()
-        except Exception as e:  # no pointer yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = []
-        return (last[0].version, dict(last[0].tables)) if last else (0, {})
+        """The highest version that was begun, and the tables of the last one that was ended."""
+        versions = self._versions()
+        for version, size in versions:
+            if size:
+                rows = self.spark.read.schema("version long, tables map<string,string>").json(f"{self.path}/pointers/v{version}.json").where("version IS NOT NULL").collect()
+                if rows:
+                    return versions[0][0], dict(rows[0].tables)
+        return (versions[0][0] if versions else 0), {}
 
     def read(self, table: str) -> DataFrame | None:
         where = self._state()[1].get(table)
         return self.spark.read.parquet(where) if where else None
 
-    def publish(self, changes: dict[str, DataFrame]) -> int:
-        """All changes or none. A change may read the tables that it replaces: its folder is a new one."""
+    def publish(self, changes: dict[str, DataFrame], since: int | None = None) -> int:
+        """All changes or none. A change may read the tables that it replaces: its folder is a new one.
+
+        The pointer's file is created exclusively, so of two writers that start from one version the later fails with
+        ``Conflict``. ``since`` is the version that the changes were made from, if that was read before.
+        """
         version, tables = self._state()
+        if since is not None and since != version:
+            raise Conflict(f"version {version} was published after {since}")
         for name, rows in changes.items():
             where = f"{self.path}/{name}/{version + 1}-{uuid.uuid4().hex[:8]}"
             rows.write.parquet(where)
             tables[name] = where
-        pointer = self.spark.createDataFrame([(version + 1, tables)], "version long, tables map<string,string>")
-        pointer.coalesce(1).write.mode("append").json(f"{self.path}/pointers")
+        pointer = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers/v{version + 1}.json")
+        fs = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(pointer, False)
+        except Py4JJavaError as e:
+            if "already exists" in str(e.java_exception):
+                raise Conflict(f"version {version + 1} was published meanwhile") from None
+            raise
+        try:
+            out.write(bytearray(json.dumps({"version": version + 1, "tables": tables}).encode()))
+        finally:
+            out.close()
         return version + 1
 
     def guard(self, fingerprint: str, reset: bool = False) -> str:
@@ -61,8 +92,14 @@ class Store:
         return what
 
     def put(self, changes: dict[str, DataFrame]) -> int:
-        """Replaces all rows of the documents in the changes, in every named table at once."""
-        return self.publish({n: rows if (old := self.read(n)) is None else replace_rows(old, rows) for n, rows in changes.items()})
+        """Replaces all rows of the documents in the changes, in every named table at once; again from the new state if another
+        writer came before."""
+        while True:
+            since = self._state()[0]
+            try:
+                return self.publish({n: rows if (old := self.read(n)) is None else replace_rows(old, rows) for n, rows in changes.items()}, since)
+            except Conflict:
+                continue
 
     def delete(self, doc_ids: DataFrame, tables: tuple[str, ...] = ("vectors", "chunks", "postings", "documents"), fail: Callable[[], None] | None = None) -> int:
         """Marks the documents, then removes them from every table; ``purge`` ends what broke off between the two."""

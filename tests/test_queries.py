@@ -42,7 +42,7 @@ def test_text_layer_reads_whole_texts(spark, duck):
         one = re.sub(r"[ \t]{2,}", " ", re.sub(r"\.{4,}", "...", re.sub(r"[ \t\n\f\r]*\n[ \t\n\f\r]*", " ", text or ""))).strip(" ")
         blocks.setdefault(i // 10, []).append((i * 7 % 10, i % 3, one))
     want = {p: "\n\n".join(b[2] for b in sorted(of) if b[2]) or None for p, of in blocks.items()}
-    got = {r.page: r.text for r in entry.queries()["text_layer_whole"](spark, D).collect()}
+    got = {r.page: r.text for r in entry.queries()["text_layer"](spark, D).collect()}
     assert max(map(len, (t for t in want.values() if t))) > 10_000 and set(got) == set(want)
     for p in want:
         assert (got[p] or None) == want[p], p

@@ -133,3 +133,19 @@ def test_repair_stream(spark, tmp_path):
         query.awaitTermination()
     rows = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: (r.answer_id, r.seq))
     assert "".join(r.text for r in rows if r.answer_id == 1) == "See [1] and  end [" and "".join(r.text for r in rows if r.answer_id == 2) == "x  y"
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    from quire.sources.store import Conflict
+
+    s = Store(spark, str(tmp_path))
+    rows = lambda *ids: spark.createDataFrame([(i, "t") for i in ids], "doc_id string, text string")
+    first = s.publish({"chunks": rows("a")})
+    other = Store(spark, str(tmp_path))
+    assert other.publish({"chunks": rows("b")}, since=first) == first + 1
+    with pytest.raises(Conflict):
+        s.publish({"chunks": rows("c")}, since=first)
+    (tmp_path / "pointers" / f"v{first + 2}.json").write_text("")  # a writer died at its pointer
+    assert [r.doc_id for r in s.read("chunks").collect()] == ["b"]
+    s.put({"chunks": rows("d")})
+    assert sorted(r.doc_id for r in s.read("chunks").collect()) == ["b", "d"]
