@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import Retrieval
-from quire.functions.text import words
+from quire.functions.text import once, words
 from quire.functions.vectors import cosine
 from quire.operators.keyword import top
 
 #: Questions that one pass over the vectors takes: a stated block, so the broadcast matrix is small by construction.
 BATCH = 10_000
+#: Scores that a task holds at once.
+BLOCK = 4_000_000
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 30) -> DataFrame:
@@ -55,16 +57,18 @@ def _dense_block(vectors: DataFrame, questions: DataFrame, asked: list, k: int)
 
     def run(frames):
         best: list[pd.DataFrame] = []
+        step = max(k, BLOCK // max(1, len(ids)))
+        names_of = np.array(ids, dtype=object)
         for f in frames:
-            if not len(f) or not ids:
-                continue
-            scores = np.round(_units(f["embedding"].tolist()) @ matrix.value.T, 9)
-            keep = min(k, len(f))
-            names = f["chunk_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names))[:, None], scores.shape).T, -scores.T), axis=1)[:, :keep]
-            best.append(pd.DataFrame({"qid": np.repeat(np.array(ids, dtype=object), keep), "chunk_id": names[order.ravel()], "score": np.take_along_axis(scores.T, order, 1).ravel()}))
-            if len(best) > 8:
-                best = [_best(pd.concat(best), k)]
+            for i in range(0, len(f) if ids else 0, step):  # so many rows that their scores take bounded memory
+                part = f.iloc[i : i + step]
+                scores = np.round(_units(part["embedding"].tolist()) @ matrix.value.T, 9)
+                keep = min(k, len(part))
+                least = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
+                row, q = np.nonzero(scores >= least)  # ties with the last one, too: their names decide
+                best.append(_best(pd.DataFrame({"qid": names_of[q], "chunk_id": part["chunk_id"].to_numpy()[row], "score": scores[row, q]}), k))
+                if len(best) > 8:
+                    best = [_best(pd.concat(best), k)]
         if best:
             yield _best(pd.concat(best), k)
 
@@ -104,17 +108,19 @@ def rerank_text(title: Column, circular: Column, section: Column, text: Column)
     return F.when(head == "", text).otherwise(F.concat(head, F.lit("\n"), text))
 
 
-def candidates(hits: DataFrame, questions: DataFrame, chunks: DataFrame, most: int = 200_000) -> DataFrame:
-    """hits (qid, chunk_id, ...) with their question's and chunk's columns. Up to ``most`` hits are broadcast to the chunks,
-    so of those only the rows that were hit are kept where they are read; more are joined by a shuffle."""
-    asked = hits.join(questions, "qid").persist()
-    few = asked.limit(most + 1).count() <= most
-    return chunks.join(F.broadcast(asked) if few else asked, "chunk_id")
+def candidates(hits: DataFrame, questions: DataFrame, chunks: DataFrame, per_question: int = 30, most: int = 200_000) -> DataFrame:
+    """hits (qid, chunk_id, ...; at most ``per_question`` of each question) with their question's and chunk's columns.
+
+    If the questions are so few that their hits are ``most`` at most, the hits are broadcast to the chunks, of which only
+    those that were hit are kept where they are read; else both sides are shuffled."""
+    few = questions.limit(most // per_question + 1).count() <= most // per_question
+    hint = F.broadcast if few else lambda side: side
+    return chunks.join(hint(hits.join(hint(questions), "qid")), "chunk_id")
 
 
 def scored(rows: DataFrame, score: Column) -> DataFrame:
-    """rows with ``score``, computed once for each row, before anything filters by it or sorts."""
-    return rows.withColumn("score", F.get(F.transform(F.array(score), lambda s: s), F.lit(0))).withColumn("score", F.col("score"))
+    """rows with ``score``, as the variable of a lambda, so that filters and sorts above do not compute it anew."""
+    return rows.withColumn("score", once(score, lambda s: s))
 
 
 def overlap_score(question: Column, passage: Column) -> Column:

@@ -356,19 +356,31 @@ BM25_SQL = bm25_sql("SELECT item_id AS qid, text AS question FROM benchmark")
 PHRASES_SQL = "SELECT item_id AS qid, replace(text, ' ', '-') AS question FROM (SELECT item_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:2], ' ') AS text FROM benchmark)"
 
 
-_INDEXES: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
-def search_index(spark, d, fields=("text",)):
-    """(tokens, sizes) of the written index of the chunks of d: written by the first query of an application that asks, and
-    anew when the files below d have changed."""
+def written(spark, d, what, write):
+    """The folder of an index over the documents of d: made by the first query of an application that asks for it, and anew
+    when the files below d have changed."""
     state = spark.read.parquet(f"{d}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    key = (spark.sparkContext.applicationId, d, fields, frozenset(map(tuple, state.collect())))
-    if key not in _INDEXES:
+    key = (spark.sparkContext.applicationId, d, what, frozenset(map(tuple, state.collect())))
+    if key not in _WRITTEN:
         where = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        keyword.write_index(fielded(spark, d) if len(fields) > 1 else chunk_rows(spark, d), where, fields)
-        _INDEXES[key] = where
-    return keyword.open_index(spark, _INDEXES[key])
+        write(where)
+        _WRITTEN[key] = where
+    return _WRITTEN[key]
+
+
+def search_index(spark, d, fields=("text",)):
+    chunks = fielded(spark, d) if len(fields) > 1 else chunk_rows(spark, d)
+    return keyword.open_index(spark, written(spark, d, fields, lambda where: keyword.write_index(chunks, where, fields)))
+
+
+def search_vectors(spark, d, dim=256):
+    """(chunk_id, embedding) of every chunk, embedded once."""
+    embed = hashing_embedder(dim)
+    rows = chunk_rows(spark, d).select("chunk_id", embed("text").alias("embedding"))
+    return spark.read.parquet(written(spark, d, ("vectors", dim), rows.write.parquet))
 
 
 def fielded(spark, d):
@@ -377,7 +389,7 @@ def fielded(spark, d):
 
 
 def searched(spark, d, questions, stem=False, fields=("text",)):
-    return keyword.bm25(*search_index(spark, d, fields), questions, stem=stem)
+    return keyword.bm25(search_index(spark, d, fields), questions, stem=stem)
 
 
 @query("bm25_topk", f"SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({BM25_SQL})")
@@ -502,8 +514,7 @@ def hybrid(spark, d):
     embed = hashing_embedder(256)
     questions = question_rows(spark, d)
     hits = searched(spark, d, questions)
-    vectors_ = chunk_rows(spark, d).select("chunk_id", embed("text").alias("embedding"))
-    near = retrieve.dense(vectors_, questions.select("qid", embed("question").alias("embedding")))
+    near = retrieve.dense(search_vectors(spark, d), questions.select("qid", embed("question").alias("embedding")))
     both = retrieve.fuse(near, hits).select("qid", "chunk_id", F.col("fused_rank").alias("rank"))
     return retrieve.mark_vintages(retrieve.passages(reranked(spark, d, both), STRICT), STRICT)
 

@@ -215,7 +215,7 @@ def test_bm25_equals_fts5(spark, question):
     chunks = spark.createDataFrame(CORPUS, "chunk_id string, text string, section string, identifiers string")
     fields = ("text", "section", "identifiers")
     asked = spark.createDataFrame([(1, question)], "qid int, question string")
-    got = {r.chunk_id: r.score for r in keyword.bm25(keyword.index(chunks, fields), keyword.lengths(chunks, fields), asked, stem=True).collect()}
+    got = {r.chunk_id: r.score for r in keyword.bm25(keyword.made_index(chunks, fields), asked, stem=True).collect()}
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(id UNINDEXED, text, section, identifiers, tokenize = 'porter unicode61 remove_diacritics 2')")
     db.executemany("INSERT INTO f VALUES (?, ?, ?, ?)", CORPUS)
@@ -244,6 +244,7 @@ def test_dense_takes_more_questions_than_a_block(spark, monkeypatch):
     asked = spark.createDataFrame([(q, [rng.gauss(0, 1) for _ in range(8)]) for q in range(23)] + [(7, [1.0] * 8)], "qid int, embedding array<double>").repartition(4)
     want = sorted(map(tuple, retrieve.dense(vectors, asked, k=5).collect()))
     monkeypatch.setattr(retrieve, "BATCH", 5)
+    monkeypatch.setattr(retrieve, "BLOCK", 10)
     assert len(want) == 23 * 5 and sorted(map(tuple, retrieve.dense(vectors, asked, k=5).collect())) == want
 
 
