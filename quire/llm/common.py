@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -53,6 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are done: Spark deletes them once the driver's garbage collection finds
+    their plans gone, which on a quiet driver may be half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A computed table of few bytes a row, hinted for broadcast if it has at most ``most`` rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import checkpointed, release
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         e = checkpointed(small)
+        del both, least, large, small
+        release(e.sparkSession)
         now = _mark(e)
         if now == mark:
             break
