@@ -71,7 +71,7 @@ def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nda
     inside = np.concatenate([[False], value > 0, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    size = max(1 << 21, 1 << int(len(data) + 1).bit_length())
+    size = max(1 << 20, 1 << int(len(data) + 1).bit_length())
     up, down = _powers(size)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value * up[: len(value)])])
@@ -100,7 +100,7 @@ def _orders(bins: int) -> np.ndarray:
     return np.argsort(rng.random((bins, bins)), axis=1).T.astype(np.int16).copy()
 
 
-def pieces(text: bytes, width: int, size: int = 1 << 20) -> Iterator[bytes]:
+def pieces(text: bytes, width: int, size: int = 1 << 18) -> Iterator[bytes]:
     """The text in pieces of about ``size`` bytes whose shingles are together those of the text: each further piece begins
     with the last width - 1 words of the one before."""
     start, n, step = 0, len(text), size
@@ -121,7 +121,7 @@ def pieces(text: bytes, width: int, size: int = 1 << 20) -> Iterator[bytes]:
 _GAP, _WORD = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[^\x20\x09-\x0D]")
 
 
-def piecewise(texts: list[bytes], width: int = WIDTH, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def piecewise(texts: list[bytes], width: int = WIDTH, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``shingles`` of the texts, in runs of bounded size however long a text is."""
     run, owner, held = [], [], 0
     for i, text in enumerate(texts):
