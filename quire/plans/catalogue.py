@@ -234,7 +234,7 @@ def exact_dedupe(spark, d):
 
 
 FILE_NAMES = (
-    "A-INST-2025-01- Encl. Sanctions Compliance Policy.pdf", "Donations Policy 2023 - Portal Version.pdf", "Donations Policy 2025.pdf", "BCP Framework-2021.pdf", "KYC Manual (1).pdf",
+    "A-INST-2022-07- Encl. Harbour Safety Policy.pdf", "Donations Policy 2023 - Portal Version.pdf", "Donations Policy 2025.pdf", "BCP Framework-2021.pdf", "KYC Manual (1).pdf",
     "Gift 2019 and 2022 Policy.pdf", "Undated  Notes.pdf", "B-OPS-2024-12 Encl KYC FAQ.pdf", "archive.v2.pdf",
 )
 _IDENTITY_SQL = r"""

@@ -82,7 +82,7 @@ def test_furniture_key_and_slug(spark):
 @pytest.mark.parametrize(
     "name,year,circular,family",
     [
-        ("A-INST-2025-01- Encl. Sanctions Compliance Policy.pdf", 2025, "A-INST-2025-01", "sanctions-compliance-policy"), ("Donations Policy 2023 - Portal Version.pdf", 2023, "", "donations-policy"),
+        ("A-INST-2022-07- Encl. Harbour Safety Policy.pdf", 2022, "A-INST-2022-07", "harbour-safety-policy"), ("Donations Policy 2023 - Portal Version.pdf", 2023, "", "donations-policy"),
         ("Donations Policy 2025.pdf", 2025, "", "donations-policy"), ("BCP Framework-2021.pdf", 2021, "", "business-continuity-framework"), ("KYC Manual (1).pdf", None, "", "know-your-customer-manual"), ("Gift 2019 and 2022 Rules.pdf", 2022, "", "gift-and-rules"),
     ],
 )
