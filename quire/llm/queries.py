@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import html_crf, langid, licenses, line_rules, minhash, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
+from quire.llm import decontamination, html_crf, langid, licenses, line_rules, minhash, packing, quality_classifier, sentencepiece_codec, simhash, toxicity, whitening
 from quire.llm.common import table
 
 
@@ -61,6 +61,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.learn(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash": op2_minhash,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op4_line_rules": line_rules.REPORT_SQL}
+ORACLES: dict[str, str] = {"op4_line_rules": line_rules.REPORT_SQL, "op12_decontamination": decontamination.SQL}
