@@ -61,6 +61,7 @@ def test_library_stands_without_the_pipeline_package(tmp_path):
 
     root = Path(entry.__file__).parent
     shutil.copytree(root / "quire", tmp_path / "quire", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op1_') for n in q), len(e.oracle_sql()) > 40)"], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(OWN)), "False", "False", "True"], said.stderr
