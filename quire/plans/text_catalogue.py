@@ -397,6 +397,24 @@ def bm25_topk(spark, d):
     return searched(spark, d, question_rows(spark, d)).select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+STANDING = "(SELECT * FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query("bm25_after_updates", f"SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({BM25_SQL.replace('documents', STANDING)})")
+def bm25_after_updates(spark, d):
+    """A written index that has seen other texts of a fifth of the documents, then their present ones, then deletions."""
+    chunks = chunk_rows(spark, d)
+
+    def write(where):
+        early = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("former words "), F.col("text"), F.lit(" former words"))).otherwise(F.col("text"))
+        keyword.update(chunks.where("doc_id % 3 <> 1").withColumn("text", early), where)
+        keyword.update(chunks.where("doc_id % 3 = 1 OR doc_id % 5 = 0"), where)
+        keyword.update(chunks.limit(0), where, removed=chunks.where("doc_id % 11 = 0").select("doc_id"))
+
+    at = keyword.open_index(spark, written(spark, d, "updated", write))
+    return keyword.bm25(at, question_rows(spark, d)).select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("bm25_phrase", f"SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({bm25_sql(PHRASES_SQL)})")
 def bm25_phrase(spark, d):
     two = F.array_join(F.slice(F.split("question", r"\s+"), 1, 2), "-")
