@@ -6,6 +6,7 @@ takes the newest pointer, so it sees all tables of one state; a change that dies
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Callable
@@ -21,6 +22,10 @@ class Conflict(RuntimeError):
     """Another writer published in between; nothing of this change is visible."""
 
 
+class _Nothing(Exception):
+    """There is nothing to publish."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -57,16 +62,19 @@ class Store:
         version, tables = self._state()
         if since is not None and since != version:
             raise Conflict(f"version {version} was published after {since}")
+        wrote = {}
         for name, rows in changes.items():
-            where = f"{self.path}/{name}/{version + 1}-{uuid.uuid4().hex[:8]}"
-            rows.write.parquet(where)
-            tables[name] = where
+            wrote[name] = f"{self.path}/{name}/{version + 1}-{uuid.uuid4().hex[:8]}"
+            rows.write.parquet(wrote[name])
+        tables |= wrote
         pointer = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers/v{version + 1}.json")
         fs = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
         try:
             out = fs.create(pointer, False)
         except Py4JJavaError as e:
             if "already exists" in str(e.java_exception):
+                for where in wrote.values():  # nobody else knows these folders
+                    fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(where), True)
                 raise Conflict(f"version {version + 1} was published meanwhile") from None
             raise
         try:
@@ -75,45 +83,66 @@ class Store:
             out.close()
         return version + 1
 
+    def change(self, make: Callable[[Callable[[str], DataFrame | None]], dict[str, DataFrame]], tries: int = 10) -> int:
+        """Publishes what ``make`` makes of the tables that it reads (by the function it is given), all of one version. If
+        another writer came before, it is made again from the new version, ``tries`` times at most."""
+        for left in reversed(range(tries)):
+            version, tables = self._state()
+            read = lambda name: self.spark.read.parquet(tables[name]) if name in tables else None  # noqa: B023, E731
+            try:
+                return self.publish(make(read), version)
+            except Conflict:
+                if not left:
+                    raise
+        raise ValueError("tries must be positive")
+
     def guard(self, fingerprint: str, reset: bool = False) -> str:
         """Refuses to mix vectors of two embedders; stamps an empty store; with ``reset`` drops the vectors first."""
-        meta, vectors = self.read("index_meta"), self.read("vectors")
-        stored = meta.first()[0] if meta is not None else None
-        n = vectors.count() if vectors is not None else 0
-        row = self.spark.createDataFrame([(stored, fingerprint, n, reset)], "a string, b string, n long, r boolean")
-        what = row.select(embedder_decision(F.col("a"), F.col("b"), F.col("n"), F.col("r"))).first()[0]
-        if what == "refuse":
-            raise ValueError(f"the index holds vectors of {stored}, not of {fingerprint}")
-        if what in ("stamp", "rebuild"):
+        said = []
+
+        def make(read) -> dict[str, DataFrame]:
+            meta, vectors = read("index_meta"), read("vectors")
+            stored = meta.first()[0] if meta is not None else None
+            n = vectors.count() if vectors is not None else 0
+            row = self.spark.createDataFrame([(stored, fingerprint, n, reset)], "a string, b string, n long, r boolean")
+            what = row.select(embedder_decision(F.col("a"), F.col("b"), F.col("n"), F.col("r"))).first()[0]
+            said.append(what)
+            if what == "refuse":
+                raise ValueError(f"the index holds vectors of {stored}, not of {fingerprint}")
             changes = {"index_meta": self.spark.createDataFrame([(fingerprint,)], "fingerprint string")}
+            if what == "ok":
+                raise _Nothing
             if what == "rebuild" and vectors is not None:
                 changes["vectors"] = vectors.limit(0)
-            self.publish(changes)
-        return what
+            return changes
+
+        with contextlib.suppress(_Nothing):
+            self.change(make)
+        return said[-1]
 
     def put(self, changes: dict[str, DataFrame]) -> int:
-        """Replaces all rows of the documents in the changes, in every named table at once; again from the new state if another
-        writer came before."""
-        while True:
-            since = self._state()[0]
-            try:
-                return self.publish({n: rows if (old := self.read(n)) is None else replace_rows(old, rows) for n, rows in changes.items()}, since)
-            except Conflict:
-                continue
+        """Replaces all rows of the documents in the changes, in every named table at once."""
+        return self.change(lambda read: {n: rows if (old := read(n)) is None else replace_rows(old, rows) for n, rows in changes.items()})
 
     def delete(self, doc_ids: DataFrame, tables: tuple[str, ...] = ("vectors", "chunks", "postings", "documents"), fail: Callable[[], None] | None = None) -> int:
         """Marks the documents, then removes them from every table; ``purge`` ends what broke off between the two."""
-        docs = self.read("documents")
-        marked = docs.join(doc_ids.select("doc_id").distinct().withColumn("__gone", F.lit(True)), "doc_id", "left")
-        self.publish({"documents": marked.withColumn("status", F.when(F.col("__gone"), "deleting").otherwise(F.col("status"))).drop("__gone")})
+        gone = doc_ids.select("doc_id").distinct().withColumn("__gone", F.lit(True))
+
+        def mark(read) -> dict[str, DataFrame]:
+            marked = read("documents").join(gone, "doc_id", "left")
+            return {"documents": marked.withColumn("status", F.when(F.col("__gone"), "deleting").otherwise(F.col("status"))).drop("__gone")}
+
+        self.change(mark)
         if fail:
             fail()
         return self.purge(tables)
 
     def purge(self, tables: tuple[str, ...] = ("vectors", "chunks", "postings", "documents")) -> int:
-        docs = self.read("documents")
-        gone = unfinished(docs)
-        return self.publish({t: without(rows, gone) for t in tables if (rows := self.read(t)) is not None})
+        def make(read) -> dict[str, DataFrame]:
+            gone = unfinished(read("documents"))
+            return {t: without(rows, gone) for t in tables if (rows := read(t)) is not None}
+
+        return self.change(make)
 
     def visible(self, table: str) -> DataFrame:
         """A table without documents that wait for deletion."""

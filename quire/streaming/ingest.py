@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.identity import identity
+from quire.operators import keyword
 from quire.operators.chunking import chunked
 from quire.sources.files import source_name
 
@@ -24,41 +26,101 @@ def markdown_stream(spark: SparkSession, path: str) -> DataFrame:
     return files.select(source_name(text, own).alias("name"), F.sha2("content", 256).alias("sha256"), text.alias("markdown"))
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str):
-    """Runs what is new in ``source`` through chunking into ``target`` and ends; call again for more.
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, embed: Callable[[str], Column] | None = None):
+    """Indexes what is new in ``source`` and ends; call again for more. ``standing`` reads the result.
 
-    A batch writes into folders of its number, overwriting them, so a batch that is run again after a crash leaves
-    nothing twice. Bytes seen before, in this batch or an earlier one, become jobs in state ``duplicate``.
+    A batch writes documents, chunks, vectors (if ``embed`` is given; null where it fails) and a segment of the keyword index
+    into folders of its number, overwriting them, and counts as a whole once its row in ``batches`` is written; so a batch
+    that breaks off and runs again leaves nothing twice. A document that comes again replaces all that it had. What is
+    written grows with the batch, not with what stands.
+
+    Each file is a job that passes queued, extracting, chunking and indexing, each told when it begins, and ends as ready; as
+    duplicate, if its bytes stand already or come twice in the batch; or as failed, if another file of the batch has its
+    id, or it gives no chunk or no vector. A failed document keeps the others from nothing, and has no chunks.
     """
 
     def batch(files: DataFrame, number: int) -> None:
+        at = lambda name: f"{target}/{name}/batch={number}"
+
+        def told(step: int, jobs: DataFrame) -> None:
+            jobs.select("name", "sha256", "state", "error").write.mode("overwrite").parquet(f"{at('jobs')}/step={step}")
+
+        state = lambda rows, name: rows.withColumns({"state": F.lit(name), "error": F.lit("")})
         files = files.persist()
         try:
-            known = _written(spark, f"{target}/documents", number)
+            told(0, state(files, "queued"))
+            stand = standing(spark, target, "documents", number)
             first = files.groupBy("sha256").agg(F.min("name").alias("first"))
-            files = files.join(first, "sha256").join(known.select("sha256", F.lit(True).alias("old")).distinct(), "sha256", "left")
-            new = files.where("old IS NULL AND name = first").withColumn("i", identity(F.col("name")))
-            docs = new.select("i.*", "sha256", "markdown")
-            chunks = chunked(docs)
-            chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
-            made = spark.read.parquet(f"{target}/chunks/batch={number}").groupBy("doc_id").agg(F.count("*").alias("chunks"))
-            docs.drop("markdown").join(made, "doc_id", "left").fillna(0, ["chunks"]).write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
-            state = F.when(F.col("old") | (F.col("name") != F.col("first")), "duplicate").otherwise("ready")
-            files.select("name", "sha256", F.coalesce(state, F.lit("ready")).alias("state"), F.lit(number).cast("long").alias("seq")).write.mode("overwrite").parquet(f"{target}/jobs/batch={number}")
+            known = files.join(first, "sha256")
+            if stand is not None:
+                known = known.join(stand.where("status = 'ready'").select("sha256", F.lit(True).alias("old")).distinct(), "sha256", "left")
+            else:
+                known = known.withColumn("old", F.lit(None).cast("boolean"))
+            fresh = known.where("old IS NULL AND name = first").withColumn("i", identity(F.col("name")))
+            mine = fresh.groupBy("i.doc_id").agg(F.min("name").alias("mine"))
+            fresh = fresh.join(mine, F.col("i.doc_id") == mine["doc_id"]).drop("doc_id")
+            new = fresh.where("name = mine").persist()
+            told(1, state(new, "extracting"))
+            docs = new.select("i.*", "name", "sha256", "markdown")
+            told(2, state(docs, "chunking"))
+            chunked(docs).write.mode("overwrite").parquet(at("chunks"))
+            chunks = spark.read.parquet(at("chunks"))
+            told(3, state(docs, "indexing"))
+            if embed is not None:
+                chunks.select("chunk_id", "doc_id", embed("text").alias("embedding")).write.mode("overwrite").parquet(at("vectors"))
+                lacking = spark.read.parquet(at("vectors")).where("embedding IS NULL").select("doc_id", F.lit(True).alias("lacking")).distinct()
+            else:
+                lacking = docs.select("doc_id", F.lit(True).alias("lacking")).limit(0)
+            made = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+            out = docs.drop("markdown").join(made, "doc_id", "left").fillna(0, ["chunks"]).join(lacking, "doc_id", "left")
+            error = F.when(F.col("chunks") == 0, "no text to index").when(F.col("lacking"), "no vector").otherwise("")
+            out = out.withColumn("error", error).withColumn("status", F.when(error == "", "ready").otherwise("failed")).drop("lacking")
+            out.write.mode("overwrite").parquet(at("documents"))
+            written = spark.read.parquet(at("documents"))
+            ready = written.where("status = 'ready'").select("doc_id")
+            keyword.update(chunks.join(ready, "doc_id", "left_semi").withColumn("identifiers", F.lit("")), f"{target}/postings", ("text", "section", "identifiers"), removed=written.select("doc_id"))
+            same = state(known.where("old OR name <> first"), "duplicate")
+            rivals = fresh.where("name <> mine").withColumns({"state": F.lit("failed"), "error": F.concat(F.lit("the batch has this id from "), "mine")})
+            ends = written.withColumnRenamed("status", "state")
+            parts = [x.select("name", "sha256", "state", "error") for x in (ends, same, rivals)]
+            told(4, parts[0].union(parts[1]).union(parts[2]))
+            spark.createDataFrame([(number,)], "done long").coalesce(1).write.mode("overwrite").parquet(at("batches"))
         finally:
             files.unpersist()
 
     return markdown_stream(spark, source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
-def _written(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Documents of earlier batches."""
+def _batches(spark: SparkSession, target: str, table: str, before: int | None) -> DataFrame | None:
+    """The rows of a table of all batches that ended, with ``batch``; None if there is none yet."""
     try:
-        return spark.read.parquet(path).where(F.col("batch") < before)
-    except Exception as e:  # the first batch
-        if "PATH_NOT_FOUND" not in str(e):
+        done = [r.done for r in spark.read.schema("done long, batch long").parquet(f"{target}/batches").select("done").distinct().collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "sha256 string, batch long")
+        return None
+    done = [n for n in done if before is None or n < before]
+    if not done:
+        return None
+    rows = spark.read.option("basePath", f"{target}/{table}").parquet(*(f"{target}/{table}/batch={n}" for n in done))
+    return rows.withColumn("batch", F.col("batch").cast("long"))
+
+
+def standing(spark: SparkSession, target: str, table: str, before: int | None = None) -> DataFrame | None:
+    """documents, chunks or vectors as they stand: of each document the rows of its last batch, and no chunks of a failed one.
+
+    Only what was replaced is looked up, so rows of documents that came once are not shuffled for it."""
+    docs, rows = _batches(spark, target, "documents", before), _batches(spark, target, table, before)
+    if rows is None:
+        return None
+    last = docs.groupBy("doc_id").agg(F.max("batch").alias("last"))
+    stale = docs.join(last, "doc_id").where("batch < last" if table == "documents" else "batch < last OR status = 'failed'").select("doc_id", "batch").distinct()
+    return rows.join(stale, ["doc_id", "batch"], "left_anti")
+
+
+def jobs(spark: SparkSession, target: str) -> DataFrame:
+    """(name, sha256, state, error, batch, step): every state that each file's job has passed, also of a batch that runs."""
+    return spark.read.option("basePath", f"{target}/jobs").parquet(f"{target}/jobs")
 
 
 HELD = re.compile(r"\[\d{0,2}$")

@@ -196,6 +196,29 @@ def test_chunks_against_the_rules(spark):
         assert got.get(d, []) == plain_chunks(bs, cfg), d
 
 
+def test_chunks_by_a_tokenizer(spark):
+    """Packs filled by a tokenizer's counts of the blocks; a chunk's tokens are those of its text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quire.functions.tokens import counts_of
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = Tokenizer.from_file(path)
+    count = lambda t: len(made.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["loan", "Zinsänderungsrisiko", "of", "2024-05", "limit."]) for _ in range(rng.randint(3, 40))) for _ in range(60)]
+    rows = [("d", i, "paragraph", t, 1, 0, "", "") for i, t in enumerate(texts)]
+    facts = spark.createDataFrame([("d", "T", "f", None)], "doc_id string, title string, policy_family string, year int")
+    got = chunking.packed(spark.createDataFrame(rows, BLOCK), facts, Chunking(target_tokens=120, overlap_tokens=0, min_tokens=0, min_words=1), counts_of(spark, path)).orderBy("ordinal").collect()
+    packs = [[]]
+    for t in texts:
+        if packs[-1] and sum(map(count, packs[-1])) + count(t) > 120:
+            packs.append([])
+        packs[-1].append(t)
+    assert [r.text for r in got] == ["[T]\n\n" + "\n\n".join(p) for p in packs] and [r.tokens for r in got] == [count(r.text) for r in got]
+
+
 def test_chunked_frame(spark):
     docs = spark.createDataFrame([("a", "A", "fam", 2024, MARKDOWN), ("b", "B", "", None, ""), ("c", "C", "", None, None)], "doc_id string, title string, policy_family string, year int, markdown string")
     rows = chunking.chunked(docs, Chunking(min_tokens=1)).collect()

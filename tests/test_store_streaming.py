@@ -96,19 +96,69 @@ def test_readers(spark, tmp_path):
 BODY = "<!-- page 1 | digital | text -->\n# 1 Scope\n\nThese are enough words for one whole chunk of text.\n"
 
 
-def test_ingest_stream(spark, tmp_path):
+def run(spark, src, out, cp, **more):
+    ingest.run_all(lambda: ingest.ingest(spark, str(src), out, cp, **more))
+
+
+def ends(spark, out):
+    return {(r.name, r.batch): r.state for r in ingest.jobs(spark, out).where("step = 4").collect()}
+
+
+def test_ingest_stream(spark, tmp_path, monkeypatch):
+    from quire.functions.vectors import hashing_embedder
+
     src, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     src.mkdir()
     (src / "Policy 2023.md").write_text(BODY)
     (src / "copy.md").write_text(BODY)
-    ingest.run_all(lambda: ingest.ingest(spark, str(src), out, cp))
+    (src / "Empty 2020.md").write_text("<!-- page 1 | digital | text -->\n\n")
+    embed = hashing_embedder(16)
+    run(spark, src, out, cp, embed=embed)
+    assert ends(spark, out) == {("Policy 2023", 0): "ready", ("copy", 0): "duplicate", ("Empty 2020", 0): "failed"}
+    assert {r.state for r in ingest.jobs(spark, out).collect()} == set(ingest.STATES)
+
+    # A known document with other words, a new one, and bytes that stand already; the batch breaks off before its end.
+    (src / "Policy 2023 .md").write_text(BODY.replace("enough", "plenty of"))
     (src / "Other 2024.md").write_text(BODY.replace("These", "Those"))
     (src / "late copy.md").write_text(BODY)
-    ingest.run_all(lambda: ingest.ingest(spark, str(src), out, cp))
-    jobs = {r.name: r.state for r in spark.read.parquet(f"{out}/jobs").collect()}
-    assert jobs == {"Policy 2023": "ready", "copy": "duplicate", "Other 2024": "ready", "late copy": "duplicate"}
-    made = {r.doc_id: (r.year, r.chunks) for r in spark.read.parquet(f"{out}/documents").collect()}
-    assert made == {"policy-2023": (2023, 1), "other-2024": (2024, 1)} and spark.read.parquet(f"{out}/chunks").count() == 2
+    real = ingest.keyword.update
+    with monkeypatch.context() as m:
+        m.setattr(ingest.keyword, "update", lambda *a, **b: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            run(spark, src, out, cp, embed=embed)
+    assert ingest.keyword.update is real
+    assert {r.doc_id for r in ingest.standing(spark, out, "chunks").collect()} == {"policy-2023"}
+    run(spark, src, out, cp, embed=embed)
+    assert {k[0]: v for k, v in ends(spark, out).items() if k[1] == 1} == {"Policy 2023 ": "ready", "Other 2024": "ready", "late copy": "duplicate"}
+    made = {r.doc_id: (r.year, r.chunks, r.status) for r in ingest.standing(spark, out, "documents").collect()}
+    assert made == {"policy-2023": (2023, 1, "ready"), "other-2024": (2024, 1, "ready"), "empty-2020": (2020, 0, "failed")}
+    chunks = ingest.standing(spark, out, "chunks").collect()
+    assert len(chunks) == 2 and sum("plenty of" in r.text for r in chunks) == 1
+    assert {r.chunk_id for r in ingest.standing(spark, out, "vectors").collect()} == {r.chunk_id for r in chunks}
+    at = ingest.keyword.open_index(spark, f"{out}/postings")
+    asked = spark.createDataFrame([(1, "plenty"), (2, "enough"), (3, "Those")], "qid int, question string")
+    found = {r.qid: r.chunk_id for r in ingest.keyword.bm25(at, asked).collect()}
+    of = {r.chunk_id: r.doc_id for r in chunks}
+    assert {q: of[c] for q, c in found.items()} == {1: "policy-2023", 2: "other-2024", 3: "other-2024"} and at.totals.first().chunks == 2
+
+
+def test_changes_from_an_older_version_lose_nothing(spark, tmp_path):
+    """While one writer deletes, another puts: both changes stand."""
+    s, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    s.put({"documents": docs(spark, ("a", "ready", "1"), ("b", "ready", "2"))})
+    s.delete(docs(spark, ("a", "", "")), ("documents",), fail=lambda: other.put({"documents": docs(spark, ("c", "ready", "3"))}))
+    assert sorted(r.doc_id for r in s.read("documents").collect()) == ["b", "c"]
+    calls = []
+
+    def make(read):
+        if not calls:
+            other.put({"documents": docs(spark, ("d", "ready", "4"))})
+        calls.append(1)
+        return {"documents": read("documents").where("doc_id <> 'b'")}
+
+    s.change(make)
+    assert len(calls) == 2 and sorted(r.doc_id for r in s.read("documents").collect()) == ["c", "d"]
+    assert len(list((tmp_path / "documents").iterdir())) == s._state()[0] == 6
 
 
 def test_repair_at_every_cut():
