@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,8 @@ from quire.operators.keyword import top
 BATCH = 10_000
 #: Scores that a task holds at once.
 BLOCK = 4_000_000
+#: Pairs of a question and a key that are broadcast, and values of a key that a filter lists.
+PAIRS, LISTED = 200_000, 1_000
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 30) -> DataFrame:
@@ -85,10 +87,49 @@ def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.sort_values(["qid", "score", "chunk_id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)
 
 
-def dense_within(vectors: DataFrame, questions: DataFrame, only: DataFrame, k: int = 30) -> DataFrame:
-    """As ``dense``, each question within its documents: vectors (chunk_id, doc_id, embedding), only (qid, doc_id)."""
-    pairs = vectors.join(only, "doc_id").join(questions.select("qid", F.col("embedding").alias("asked")), "qid")
-    return top(pairs.select("qid", "chunk_id", F.round(cosine(F.col("embedding"), F.col("asked")), 9).alias("score")), k)
+def dense_within(vectors: DataFrame, questions: DataFrame, only: DataFrame, k: int = 30, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """As ``dense``, each question within what it may see: vectors (chunk_id, keys, embedding), only (qid, keys).
+
+    If questions and pairs are few (BATCH and PAIRS), vectors stay where they are: those of other keys are filtered out by
+    values (of a table partitioned by keys, its other partitions are not read), and of each batch the rows of one key meet
+    the questions of that key. Else vectors are joined with their questions.
+    """
+    asked = questions.select("qid", "embedding").limit(BATCH + 1).collect()
+    pairs = only.select("qid", *keys).distinct().limit(PAIRS + 1).collect() if len(asked) <= BATCH else []
+    if len(asked) > BATCH or len(pairs) > PAIRS:
+        both = vectors.join(only.distinct(), [*keys]).join(questions.select("qid", F.col("embedding").alias("asked")), "qid")
+        return top(both.select("qid", "chunk_id", F.round(cosine(F.col("embedding"), F.col("asked")), 9).alias("score")), k)
+    for i, key in enumerate(keys, 1):
+        values = {r[i] for r in pairs} - {None}
+        if len(values) <= LISTED:
+            vectors = vectors.where(F.col(key).isin(list(values)))
+    units = dict(zip((r.qid for r in asked), _units([r.embedding for r in asked])))
+    of: dict[tuple, list] = {}
+    for r in pairs:
+        if r.qid in units and None not in r[1:]:
+            of.setdefault(tuple(r[1:]), []).append(r.qid)
+    shared = vectors.sparkSession.sparkContext.broadcast((units, of))
+    fields = {f.name: f.dataType.simpleString() for f in [*questions.select("qid").schema, *vectors.select("chunk_id").schema]}
+    schema = f"qid {fields['qid']}, chunk_id {fields['chunk_id']}, score double"
+
+    def run(frames):
+        units, of = shared.value
+        best: list[pd.DataFrame] = []
+        for f in frames:
+            for key, rows in f.groupby(list(keys), sort=False):
+                ids = of.get(key if isinstance(key, tuple) else (key,), [])
+                step = max(k, BLOCK // max(1, len(ids)))
+                for i in range(0, len(rows) if ids else 0, step):
+                    part = rows.iloc[i : i + step]
+                    scores = np.round(_units(part["embedding"].tolist()) @ np.array([units[q] for q in ids]).T, 9)
+                    made = pd.DataFrame({"qid": np.tile(np.array(ids, dtype=object), len(part)), "chunk_id": np.repeat(part["chunk_id"].to_numpy(), len(ids)), "score": scores.ravel()})
+                    best.append(_best(made, k))
+            if len(best) > 8:
+                best = [_best(pd.concat(best), k)]
+        if best:
+            yield _best(pd.concat(best), k)
+
+    return top(vectors.select("chunk_id", *keys, "embedding").mapInPandas(run, schema), k)
 
 
 def fuse(dense_list: DataFrame, keyword_list: DataFrame, k: int = 60, limit: int = 30) -> DataFrame:

@@ -12,6 +12,7 @@ from quire.functions import text as tx
 from quire.functions.vectors import fingerprint, hashing_embedder
 from quire.operators import answer, audit, chunking, keyword, retrieve, structure
 from quire.plans.catalogue import RECORDS_SQL, derived, query, records, t
+from quire.sources.collection import read_vectors, write_vectors
 from quire.sources.files import markdown_of
 from quire.sources.scratch import shared_folder
 
@@ -458,6 +459,21 @@ def dense_topk_filtered(spark, d):
     return retrieve.dense_within(v, asked, only).select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("vector_collection", f"SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({DENSE_SQL.format(where='WHERE v.label = q.label AND v.vec_id % 3 = q.vec_id % 3')})")
+def vector_collection(spark, d):
+    """Each question within the family (the label) and year of its own row, over a collection laid out by these."""
+
+    def write(where):
+        rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("policy_family"), (2023 + F.col("vec_id") % 3).cast("int").alias("year"), "embedding")
+        write_vectors(rows, where)
+
+    at = written(spark, d, "collection", write)
+    v = read_vectors(spark, at, "chunk_id long, doc_id long, embedding array<float>, policy_family string, year int")
+    asked = t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").cast("string").alias("policy_family"), (2023 + F.col("vec_id") % 3).cast("int").alias("year"))
+    found = retrieve.dense_within(v, asked, asked.select("qid", "policy_family", "year"), keys=("policy_family", "year"))
+    return found.select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("hash_embed")
 def hash_embed(spark, d):
     return t(spark, d, "documents").select("doc_id", hashing_embedder(256)("text").alias("embedding"), F.lit(fingerprint("hashing", 256)).alias("fingerprint"))

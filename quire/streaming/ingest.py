@@ -166,6 +166,56 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
+def watched(events: DataFrame, patience: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """(job, state, at) for append mode, of a stream of (job, state, at): each change of a job's state, and a ``failed`` of its
+    own for a job that says nothing for ``patience`` after its last event.
+
+    Per job its last event is kept, with a timer of event time that each event sets anew; a job that has ended, by an event
+    or by its timer, leaves no state behind. An event older than the last one of its job says nothing new; one that comes
+    after a job has failed by its timer opens the job again.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    class Watch(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "state string, at long")
+
+        def _quiet(self) -> None:
+            for when in list(self.handle.listTimers()):
+                self.handle.deleteTimer(when)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            seen = pd.concat(list(rows)).sort_values(["at", "state"])
+            state, at = self.last.get() if self.last.exists() else (None, -1)
+            out = []
+            for r in seen.itertuples():
+                now = int(r.at.timestamp() * 1000)
+                if now >= at:
+                    if r.state != state:
+                        out.append((key[0], r.state, r.at))
+                    state, at = r.state, now
+            self._quiet()
+            if state in ("ready", "failed", "duplicate"):
+                self.last.clear()
+            else:
+                self.last.update((state, at))
+                self.handle.registerTimer(at + wait)
+            yield pd.DataFrame(out, columns=["job", "state", "at"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.last.clear()
+            yield pd.DataFrame([(key[0], "failed", pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))], columns=["job", "state", "at"])
+
+        def close(self) -> None:
+            pass
+
+    told = events.withWatermark("at", late).groupBy("job")
+    return told.transformWithStateInPandas(statefulProcessor=Watch(), outputStructType="job string, state string, at timestamp", outputMode="Append", timeMode="EventTime")
+
+
 def run_all(start: Callable[[], object]) -> None:
     """Starts a query that ends by itself and waits for it."""
     start().awaitTermination()
