@@ -20,6 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from quire.llm import common
+from quire.llm.license_sentences import SENTENCES
 
 #: Fixed values of the contract: phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -123,6 +124,8 @@ def signatures() -> tuple[Signature, ...]:
         rule(f"cc-{kind}", 56, rf"creative commons[- ]+{words}(?![- ,]*(?:{CC_WORDS['nc']}|{CC_WORDS['sa']}|{CC_WORDS['nd']}))", ("creative commons",))
     for i, (label, pattern, keyword) in enumerate(NOTICES):
         rule(label, 40 - i, pattern, (keyword,))
+    for label, priority, pattern, keyword in SENTENCES:
+        rule(label, priority, pattern, tuple(keyword.split("|")))
     return tuple(sorted(out, key=lambda s: -s.priority))
 
 
