@@ -220,19 +220,21 @@ def blocks(source: str | None) -> list[Block]:
 #: Parts of class names: runs of small letters, a capital before them included.
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TAGS = "article aside blockquote body caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html li main nav ol p pre section table td th tr ul".split()
-#: What a text's beginning says of its part of the page, by feature: words and phrases, each between non-letters.
+#: What a text says of its part of the page, by feature: words and phrases, each between non-letters.
 SIGNS = {
-    "rights": "©|(c)|all rights|alle rechte|tous droits|derechos reservados|impressum|imprint|terms of|powered by",
+    "rights": "©|(c)|copyright|all rights|alle rechte|tous droits|derechos reservados|impressum|imprint|terms of|powered by",
     "cookie": "cookie|cookies|privacy|datenschutz|gdpr|consent|confidentialité|privacidad",
     "join": "subscribe|newsletter|sign up|sign in|log in|login|register|abonnieren|abonnez|suscríbete|suscribirse|anmelden|e-mail address|email address",
     "share": "share|follow us|tweet|facebook|twitter|teilen|partager|partagez|compartir|comparte",
-    "sell": "advert|advertisement|sponsored|buy now|order now|shop now|offer|offers|% off|deal|deals|free shipping|werbung|anzeige|publicité|publicidad|jetzt kaufen|angebot|limited time|click here",
+    "sell": "advert|advertisement|sponsored|buy now|buy our|buy your|order now|shop now|offer|offers|% off|deal|deals|free shipping|werbung|anzeige|publicité|publicidad|jetzt kaufen|angebot|limited time|click here",
     "talk": "reply|replies|replied|comment|comments|kommentar|kommentare|commentaire|commentaires|comentario|comentarios|says|wrote|schrieb|antworten|répondre|responder|posted by|posted on|likes|votes|responses|discussion",
     "menu": "menu|home|search|startseite|accueil|inicio|suche|skip to|back to top|next|previous|read more",
     "more": "related|you may also|recommended|trending|popular|most read|see also|weitere|mehr zum|à lire|más leídas|latest|archives|archive|tags|categories",
 }
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DIGIT = re.compile(r"\d")
+#: What stands between the names of a menu.
+PARTED = re.compile(r"[|·•»/]")
 
 
 @lru_cache(maxsize=1)
@@ -247,19 +249,23 @@ def _signs():
     return found
 
 
-def sign_of(text: str) -> str | None:
-    """The first sign in the text's first 300 characters."""
-    low = text[:300].lower()
+def sign_of(text: str, words: int) -> str | None:
+    """The first sign of the text, if it has one for every fifty words or more: a long text that names a thing once says little
+    of its part."""
+    low = text.lower()
+    first, n = None, 0
     for end, (kind, size) in _signs().iter(low):
         if not low[end + 1 : end + 2].isalpha() and (end < size or not low[end - size].isalpha()):
-            return kind
-    return None
+            first = first or kind
+            n += 1
+    return first if 50 * n >= words else None
 
 
 CHECKS = [
     "words<4", "words<10", "words<25", "words>=25", "words>=60", "ends", "links>0", "links>.5", "links>.9", "digits", "first", "last", "bare", "same parent", "bias", "early", "late",
     "after h1", "before h1", "under junk heading", "heading", "prev<4", "prev>=25", "next<4", "next>=25", "prev links", "next links", "around>=15", "around<6", "most of page", "commas",
     *(f"{who} {what}" for who in ("up", "top") for what in ("words>.5", "words>.2", "words<.03", "links>.5", "mean>=20", "mean<6", "one block", "repeats")), "repeats", "after main words", "far after",
+    "alone", "only", "few blocks", "short page", "parted", "no junk",
 ]
 FEATURES = {f: i for i, f in enumerate([*(f"in {t}" for t in TAGS), *(f"is {t}" for t in TAGS), *(f"hint {h}" for h in HINTS), *(f"sign {k}" for k in SIGNS), *(f"head sign {k}" for k in SIGNS), *CHECKS])}
 
@@ -294,6 +300,8 @@ def features(page: list[Block]) -> list[list[int]]:
     body = [k for k, b in enumerate(page) if b.words >= 25 and 2 * b.linked < len(b.text)]
     longest = max(page, key=lambda b: b.words).at.parent if page else None
     final = body[-1] if body else n
+    prose = [k for k, b in enumerate(page) if b.words >= 8 and 2 * b.linked < len(b.text)]
+    plain = not any(b.at.hints or b.linked for b in page)
     said = None  # what the last heading or short line says
     for k, b in enumerate(page):
         text, w, size = b.text, b.words, max(1, len(b.text))
@@ -312,7 +320,7 @@ def features(page: list[Block]) -> list[list[int]]:
                 add(f["links>.5"])
                 if share > 0.9:
                     add(f["links>.9"])
-        sign = sign_of(text)
+        sign = sign_of(text, w)
         if sign:
             add(f["sign " + sign])
         head = b.at.tag in HEADS
@@ -322,9 +330,9 @@ def features(page: list[Block]) -> list[list[int]]:
             add(f["head sign " + said])
         if head:
             add(f["heading"])
-        if DIGIT.search(text, 0, 80):
+        if DIGIT.search(text):
             add(f["digits"])
-        if text.count(",", 0, 400) + text.count(". ", 0, 400) >= 2:
+        if text.count(",") + text.count(". ") >= 2:
             add(f["commas"])
         if k == 0:
             add(f["first"])
@@ -362,6 +370,18 @@ def features(page: list[Block]) -> list[list[int]]:
             add(f["after h1" if k >= h1 else "before h1"])
         if b.at.parent is longest:
             add(f["most of page"])
+        if prose == [k]:
+            add(f["alone"])
+        if n == 1:
+            add(f["only"])
+        if n <= 4:
+            add(f["few blocks"])
+        if total < 80:
+            add(f["short page"])
+        if w < 12 and len(PARTED.findall(text)) >= 2:
+            add(f["parted"])
+        if plain:
+            add(f["no junk"])
         if k > final:
             add(f["after main words"])
             if k > final + 3:
@@ -438,7 +458,7 @@ def train(pages: list[list[Block]], rounds: int = 160, rate: float = 0.15, ridge
     return Chain(w[: nf * 2].reshape(nf, 2).copy(), w[nf * 2 :].reshape(2, 2).copy())
 
 
-def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 1_300, seed: int = 7) -> list[str]:
     """Pages of many forms. Every part has ``data-label``: 1 for main text, 0 for everything else."""
     r = random.Random(seed)
     syllables = "an be co de er fi ga ho in ja ka lo me na or pa qui re sa ti un ve wa".split()
@@ -524,7 +544,10 @@ def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
 
     out = []
     for i in range(n):
-        if i % 2:
+        if i % 3 == 2:
+            out.append(_plain_form(r, words, sentence, para))
+            continue
+        if i % 3:
             out.append(_other_form(r, words, sentence, para))
             continue
         before = [junk(k) for k in ("nav", "header", "ad", "notice", "form", "side") if r.random() < 0.45]
@@ -655,6 +678,77 @@ def _other_form(r: random.Random, words, sentence, para) -> str:
     return f"<html><head><title>{words(3)}</title></head><body data-label='0'>{''.join(top)}{middle}{''.join(end)}</body></html>"
 
 
+def _plain_form(r: random.Random, words, sentence, para) -> str:
+    """A short page with little or nothing around its text, and no names that tell."""
+    mark = r.choice(["", "", "css-", "x"])
+
+    def div(inner: str, label: int, tag: str = "div") -> str:
+        return f"<{tag}{f' class={mark}{r.randrange(16**5):05x}' if mark else ''} data-label='{label}'>{inner}</{tag}>"
+
+    name = lambda: words(r.randint(1, 2)).title()
+    link = lambda k=2: f"<a href='/{words(1)}'>{words(r.randint(1, k)).capitalize()}</a>"
+    year = r.randint(1995, 2025)
+    bar = r.choice([" | ", " · ", " / ", " • "])
+
+    def menu() -> str:
+        entries = ["Home", *(words(1).title() for _ in range(r.randint(2, 4)))]
+        return div(r.choice([bar.join(entries), bar.join(f"<a href='/'>{e}</a>" for e in entries), "".join(f"<a href='/'>{e}</a> " for e in entries), f"<ul>{''.join(f'<li><a href=/x>{e}</a></li>' for e in entries)}</ul>"]), 0, r.choice(["div", "div", "p"]))
+
+    def foot() -> str:
+        return div(r.choice([f"Copyright {year} {name()} Ltd", f"Copyright {year} {name()}", f"© {year} {name()}. All rights reserved.", f"(c) {year} {name()}", f"{name()} © {year}"]), 0, r.choice(["div", "p"]))
+
+    def notes() -> str:
+        head = r.choice([f"{r.randint(1, 9)} comments", "Comments", "Kommentare", "Replies", "Commentaires", "Leave a comment", ""])
+        how = r.randrange(4)
+
+        def note() -> str:
+            who, said = name(), para(2)
+            when = f"{r.randint(1, 28)} {r.choice(['May', 'June', 'March'])} {year}"
+            return [f"<b>{who}</b> wrote: {said}", f"<span>{who}, {when}</span><p>{said}</p>", f"<b>{who}</b><p>{said}</p>", f"<p>{who} says: {said}</p>"][how]
+
+        inner = "".join(div(note(), 0) for _ in range(r.randint(1, 5)))
+        return div((f"<h{r.choice('34')}>{head}</h3>" if head else "") + inner, 0) if head or how in (0, 3) else div(f"<h3>Comments</h3>{inner}", 0)
+
+    def advert() -> str:
+        return div(r.choice([f"<a href='/x'>Buy our {words(1)} now</a>", f"<a href='/x'>{name()}: {r.choice(['order now', 'special offer', 'shop now'])}</a>", f"Advertisement: {words(3)}"]), 0, "p")
+
+    def related() -> str:
+        return div(f"<h3>{r.choice(['Related', 'Most read', 'See also', name()])}</h3><ul>{''.join(f'<li>{link(4)}</li>' for _ in range(r.randint(2, 5)))}</ul>", 0)
+
+    def notice() -> str:
+        return div(f"<p>We use cookies on this {r.choice(['site', 'page'])}.</p><button>OK</button>", 0)
+
+    def site() -> str:
+        return div(f"<a href='/'>{name()}</a>", 0)
+
+    def form() -> str:
+        return div(f"<label>E-mail</label><input><button>{r.choice(['Subscribe', 'Sign up'])}</button>", 0, "form")
+
+    tag = r.choice(["p", "p", "p", "div"])
+    how = r.random()
+    if how < 0.15:  # one paragraph
+        text = [f"<p data-label='1'>{para(3)}</p>" if r.random() < 0.6 else para(4)]
+    elif how < 0.25:
+        text = [f"{para(3)}<br><br>" for _ in range(r.randint(2, 4))]
+    else:
+        head = [div(words(r.randint(1, 5)).capitalize(), 1, r.choice(["h1", "h1", "h2"]))] if r.random() < 0.85 else []
+        text = head + [div(para(r.choice([1, 1, 2, 3])), 1, tag) for _ in range(r.randint(1, 4))]
+        if r.random() < 0.15:
+            text.insert(1, "<ul data-label='1'>" + "".join(f"<li>{words(r.randint(1, 5))}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
+        if r.random() < 0.2:
+            text.insert(1, f"<h2 data-label='1'>{words(r.randint(1, 3)).capitalize()}</h2>")
+        if r.random() < 0.2:
+            text = [f"<div>{x}</div>" for x in text]
+    before = [f() for f, p in ((notice, 0.1), (site, 0.2), (menu, 0.3)) if r.random() < p]
+    after = [f() for f, p in ((advert, 0.12), (related, 0.15), (notes, 0.3), (form, 0.1), (foot, 0.4)) if r.random() < p]
+    if how < 0.25 and r.random() < 0.6:  # nothing but the text
+        before, after = [], []
+    middle = "".join(text)
+    for _ in range(r.randint(0, 3)):
+        middle = f"<div>{middle}</div>" if not mark else div(middle, 1)
+    return f"<html><body data-label='{int(how < 0.25)}'>{''.join(before)}{middle}{''.join(after)}</body></html>"
+
+
 @lru_cache(maxsize=1)
 def model() -> Chain:
     return train([[b for b in blocks(p) if b.label >= 0] for p in labelled_pages()])

@@ -489,6 +489,26 @@ def test_chain_on_hand_made_pages():
     assert 2 * right / (kept + wanted) >= 0.95
 
 
+def test_chain_on_plain_pages():
+    """Short articles without names: none is lost, and little of what stands around is kept."""
+    from tests.llm.plain_pages import PAGES
+
+    chain, right, kept, wanted = html_crf.model(), 0, 0, 0
+    for form, source in PAGES.items():
+        want = [b.text.startswith("§") for b in html_crf.blocks(source)]
+        got = chain.decode(html_crf.blocks(source.replace("§", "")))
+        assert len(got) == len(want)
+        hits = sum(a and b for a, b in zip(got, want))
+        assert hits, form
+        right, kept, wanted = right + hits, kept + sum(got), wanted + sum(want)
+    assert 2 * right / (kept + wanted) >= 0.95
+
+
+def test_a_sign_counts_wherever_it_stands():
+    said = " ".join(["word"] * 45)
+    assert html_crf.sign_of(f"{said} posted by Ben", 48) == "talk" and html_crf.sign_of(" ".join([said] * 3) + " posted by Ben", 138) is None
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<div>", "</p>", "<li>", "<option>a", "<!--", "<p a=\"", "<b '\">", "</script", "<script>x</script>", "<table><tr><td>", "<div class='comment'>x", "&amp;&#x41;&", "<h1>a</h2>"])
 def test_hostile_markup_takes_time_linear_in_its_length(unit):
     source = unit * (1_000_000 // len(unit))
