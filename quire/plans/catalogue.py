@@ -84,10 +84,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _sqlstr(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 # Pages --------------------------------------------------------------------------------------------------------------
 
 
@@ -233,10 +229,6 @@ def exact_dedupe(spark, d):
     return library.copies(docs.select("doc_id", "sha256", name.alias("name"))).select("doc_id", "name", "duplicate_of")
 
 
-FILE_NAMES = (
-    "A-INST-2022-07- Encl. Harbour Safety Policy.pdf", "Donations Policy 2023 - Portal Version.pdf", "Donations Policy 2025.pdf", "BCP Framework-2021.pdf", "KYC Manual (1).pdf",
-    "Gift 2019 and 2022 Policy.pdf", "Undated  Notes.pdf", "B-OPS-2024-12 Encl KYC FAQ.pdf", "archive.v2.pdf",
-)
 _IDENTITY_SQL = r"""
 SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS doc_id, title,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\bafpad\b', 'approval framework for policies and associated documents', 'g'), '\bbcp\b', 'business continuity', 'g'), '\bkyc\b', 'know your customer', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS policy_family, year, circular
@@ -248,9 +240,15 @@ FROM (SELECT name, circular, CAST(coalesce(nullif(issued, ''), list_extract(year
       FROM (SELECT name, trim(regexp_replace(name, '\.[^.]*$', '')) AS stem FROM names))))"""
 
 
-@query("identity_parse", f"WITH names AS (SELECT unnest([{', '.join(_sqlstr(n) for n in FILE_NAMES)}]) AS name) {_IDENTITY_SQL}")
+#: A file's name for each document: with a circular's number or without, an edition's year, a portal's or a download's mark.
+NAMED = """SELECT concat(CASE WHEN doc_id % 4 = 0 THEN concat('A-INST-', CAST(2019 + doc_id % 6 AS STRING), '-', CAST(100 + doc_id % 50 AS STRING), CASE WHEN doc_id % 8 = 0 THEN ' Encl. ' ELSE ' - ' END) ELSE '' END,
+  CASE doc_id % 5 WHEN 0 THEN 'AFPAD Policy' WHEN 1 THEN 'BCP plan' WHEN 2 THEN 'KYC Handbook' WHEN 3 THEN concat('Notes of ', source) ELSE concat('Rules_', lang) END,
+  CASE doc_id % 3 WHEN 0 THEN concat(' ', CAST(2018 + doc_id % 7 AS STRING)) WHEN 1 THEN ' - Portal version' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN concat(' (', CAST(doc_id % 9 AS STRING), ')') ELSE '' END, '.pdf') AS name FROM documents"""
+
+
+@query("identity_parse", f"WITH names AS ({NAMED}) {_IDENTITY_SQL}")
 def identity_parse(spark, d):
-    names = spark.createDataFrame([(n,) for n in FILE_NAMES], "name string")
+    names = derived(spark, d, NAMED)
     return names.withColumn("i", identity(F.col("name"))).select("name", "i.doc_id", "i.title", "i.policy_family", "i.year", "i.circular")
 
 

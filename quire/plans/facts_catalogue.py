@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.config import REFUSAL
@@ -9,6 +11,8 @@ from quire.functions.identity import uuid5
 from quire.operators import answer, audit, chunking, library, pages, retrieve
 from quire.plans.catalogue import LIBRARY, RECORDS_SQL, SIGNALS, derived, query, records, t
 from quire.plans.text_catalogue import FINDINGS_SQL, MARKED_SQL, OVERLAP_SQL, STRICT, chunk_rows, marked, question_rows, reranked
+from quire.sources.scratch import shared_folder
+from quire.streaming.ingest import run_all, watched
 
 
 @query("registry_by_hash", f"WITH d AS (SELECT doc_id, sha256(text) AS sha256 FROM documents) SELECT a.sha256, b.doc_id FROM (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN concat('no', sha256) ELSE sha256 END AS sha256 FROM d) a LEFT JOIN (SELECT sha256, min(doc_id) AS doc_id FROM d GROUP BY 1) b USING (sha256)")
@@ -169,3 +173,32 @@ def kinds_as_map(spark, d):
     per = derived(spark, d, SIGNALS).groupBy("doc", F.when(F.col("page") % 2 == 0, "even").otherwise("odd").alias("k")).agg(F.count("*").alias("n"))
     m = per.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
     return m.select("doc", F.coalesce(F.try_element_at("m", F.lit("even")), F.lit(0)).alias("even"), F.coalesce(F.try_element_at("m", F.lit("odd")), F.lit(0)).alias("odd"))
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_OF = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'chunking' WHEN 'click' THEN 'indexing' WHEN 'error' THEN 'failed' ELSE 'ready' END"
+
+
+@query(
+    "stalled_jobs",
+    f"""WITH e AS (SELECT user_id AS job, {STATE_OF} AS state, ts AS at_ FROM events),
+o AS (SELECT *, lag(state) OVER w AS before, row_number() OVER (PARTITION BY job ORDER BY at_ DESC, state DESC) AS back FROM e WINDOW w AS (PARTITION BY job ORDER BY at_, state))
+SELECT job, state, at_ AS at FROM o WHERE before IS NULL OR before <> state
+UNION ALL SELECT job, 'failed', make_timestamp(epoch_ms(at_) * 1000 + 600000000) FROM o WHERE back = 1 AND state NOT IN ('ready', 'failed', 'duplicate') AND epoch_ms(at_) + 600000 <= (SELECT epoch_ms(max(at_)) FROM e) - 60000""",
+)
+def stalled_jobs(spark, d):
+    """The changes of state of every job (a user's events) as a stream, and the failures of those that fell silent."""
+    at = f"{shared_folder(spark)}/stalled-{uuid.uuid4().hex}"
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        # A file stream takes a folder or a glob; the table is a folder or a single file, and this glob is either.
+        schema = spark.read.parquet(f"{d}/events.parquet").schema
+        events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").alias("job"), F.expr(STATE_OF).alias("state"), F.col("ts").cast("timestamp").alias("at"))
+        run_all(lambda: watched(events).writeStream.option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").format("parquet").trigger(availableNow=True).start())
+    finally:
+        if kept is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    return spark.read.parquet(f"{at}/out").select("job", "state", F.col("at").cast("timestamp_ntz").alias("at"))

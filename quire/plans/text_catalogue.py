@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.config import REFUSAL, Retrieval
 from quire.functions import text as tx
+from quire.functions.tokens import counts_of
 from quire.functions.vectors import fingerprint, hashing_embedder
 from quire.operators import answer, audit, chunking, keyword, retrieve, structure
 from quire.plans.catalogue import RECORDS_SQL, derived, query, records, t
@@ -207,6 +208,16 @@ def chunk_pack(spark, d):
     return chunking.chunked(as_markdown(spark, d)).drop("text")
 
 
+@query("chunk_pack_tokens")
+def chunk_pack_tokens(spark, d, tokenizer_path=None):
+    """Packs filled by the counts of a tokenizer in place of the estimate."""
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return chunking.chunked(as_markdown(spark, d), count=counts_of(spark, tokenizer_path)).drop("text")
+
+
 def _nl(text: str) -> str:
     return "'" + text.replace("\n", "' || chr(10) || '") + "'"
 

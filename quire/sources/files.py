@@ -90,3 +90,8 @@ def remove_files(spark: SparkSession, folder: str, names: list[str]) -> list[str
         if fs.exists(file) and fs.getFileStatus(file).isFile() and fs.delete(file, False):
             gone.append(name)
     return gone
+
+
+def derived_names(doc_id: str) -> list[str]:
+    """The files that extraction makes of a document, by its id and never by its name."""
+    return [f"{doc_id}.md", f"{doc_id}.pages.json", f"{doc_id}.pdf"]

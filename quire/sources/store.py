@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.library import embedder_decision, replace_rows, unfinished, without
+from quire.sources.files import derived_names, remove_files
 
 
 class Conflict(RuntimeError):
@@ -147,3 +148,57 @@ class Store:
     def visible(self, table: str) -> DataFrame:
         """A table without documents that wait for deletion."""
         return without(self.read(table), unfinished(self.read("documents")))
+
+    def sweep(self, keep: int = 1) -> list[str]:
+        """Removes what no kept version names: table folders of versions up to the newest (a writer that is under way has a
+        higher number) and older pointers. The newest ``keep`` ended versions stay; gives the removed paths. Fails if
+        anything that a kept version names is gone. Run again after a break, it ends the rest."""
+        jvm = self.spark._jvm
+        of = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+        fs = of(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        ended: dict[int, dict[str, str]] = {}
+        for version, size in self._versions():
+            if size and len(ended) < keep:
+                rows = self.spark.read.schema("version long, tables map<string,string>").json(f"{self.path}/pointers/v{version}.json").where("version IS NOT NULL").collect()
+                ended |= {version: dict(r.tables) for r in rows}
+        if not ended:
+            return []
+        named = {where.rpartition("/")[2] for tables in ended.values() for where in tables.values()}
+        gone = []
+        for table in fs.listStatus(of(self.path)):
+            name = table.getPath().getName()
+            if not table.isDirectory() or name == "pointers":
+                continue
+            for f in fs.listStatus(table.getPath()):
+                folder = f.getPath().getName()
+                number = folder.partition("-")[0]
+                if number.isdigit() and int(number) <= max(ended) and folder not in named:
+                    fs.delete(f.getPath(), True)
+                    gone.append(f"{name}/{folder}")
+        for version, _ in self._versions():
+            if version < min(ended):
+                fs.delete(of(f"{self.path}/pointers/v{version}.json"), False)
+                gone.append(f"pointers/v{version}.json")
+        lost = [where for tables in ended.values() for where in tables.values() if not fs.exists(of(where))]
+        if lost:
+            raise RuntimeError(f"named, but not there: {lost}")
+        return gone
+
+    def erase(self, doc_ids: DataFrame, folder: str, tables: tuple[str, ...] = ("vectors", "chunks", "postings", "documents"), fail: Callable[[], None] | None = None) -> list[str]:
+        """Deletes documents to the end: their rows, the files in ``folder`` that extraction made of them, and the versions
+        that still held them. Marked documents of a deletion that broke off go with them. Fails if anything stays; the file
+        names that were removed. The ids of one call are bounded: their files are removed by the driver."""
+        gone = []
+
+        def files() -> None:
+            for r in unfinished(self.read("documents")).distinct().toLocalIterator():
+                gone.extend(remove_files(self.spark, folder, derived_names(r.doc_id)))
+            if fail:
+                fail()
+
+        self.delete(doc_ids, tables, fail=files)
+        self.sweep()
+        left = {t: n for t in tables if (rows := self.read(t)) is not None and (n := rows.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").count())}
+        if left:
+            raise RuntimeError(f"rows of deleted documents stay: {left}")
+        return gone

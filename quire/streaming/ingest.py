@@ -172,7 +172,8 @@ def watched(events: DataFrame, patience: str = "10 minutes", late: str = "1 minu
 
     Per job its last event is kept, with a timer of event time that each event sets anew; a job that has ended, by an event
     or by its timer, leaves no state behind. An event older than the last one of its job says nothing new; one that comes
-    after a job has failed by its timer opens the job again.
+    after a job has failed by its timer opens the job again. A job's events of one batch meet in one task, as few as the
+    steps of a job are.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -188,17 +189,17 @@ def watched(events: DataFrame, patience: str = "10 minutes", late: str = "1 minu
                 self.handle.deleteTimer(when)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            seen = pd.concat(list(rows)).sort_values(["at", "state"])
+            seen = pd.concat(list(rows)).dropna(subset=["at"]).sort_values(["at", "state"])
             state, at = self.last.get() if self.last.exists() else (None, -1)
             out = []
             for r in seen.itertuples():
-                now = int(r.at.timestamp() * 1000)
+                now = r.at.as_unit("ns").value // 1_000_000
                 if now >= at:
                     if r.state != state:
                         out.append((key[0], r.state, r.at))
                     state, at = r.state, now
             self._quiet()
-            if state in ("ready", "failed", "duplicate"):
+            if state is None or state in ("ready", "failed", "duplicate"):
                 self.last.clear()
             else:
                 self.last.update((state, at))
@@ -213,7 +214,7 @@ def watched(events: DataFrame, patience: str = "10 minutes", late: str = "1 minu
             pass
 
     told = events.withWatermark("at", late).groupBy("job")
-    return told.transformWithStateInPandas(statefulProcessor=Watch(), outputStructType="job string, state string, at timestamp", outputMode="Append", timeMode="EventTime")
+    return told.transformWithStateInPandas(statefulProcessor=Watch(), outputStructType=f"job {events.schema['job'].dataType.simpleString()}, state string, at timestamp", outputMode="Append", timeMode="EventTime")
 
 
 def run_all(start: Callable[[], object]) -> None:

@@ -110,3 +110,20 @@ def test_stems_as_published():
 
 def test_defaults():
     assert (Routing().scan_density, Routing().raster_share, Routing().garble, Routing().text_density) == (12.0, 0.2, 0.45, 3.0)
+
+
+FILE_NAMES = (
+    "A-INST-2022-07- Encl. Harbour Safety Policy.pdf", "Donations Policy 2023 - Portal Version.pdf", "Donations Policy 2025.pdf", "BCP Framework-2021.pdf", "KYC Manual (1).pdf",
+    "Gift 2019 and 2022 Policy.pdf", "Undated  Notes.pdf", "B-OPS-2024-12 Encl KYC FAQ.pdf", "archive.v2.pdf",
+)
+
+
+def test_identity_beside_sql(spark):
+    import duckdb
+
+    from quire.functions.identity import identity
+    from quire.plans.catalogue import _IDENTITY_SQL
+
+    rows = spark.createDataFrame([(n,) for n in FILE_NAMES], "name string").withColumn("i", identity(F.col("name"))).select("name", "i.doc_id", "i.title", "i.policy_family", "i.year", "i.circular").collect()
+    want = duckdb.sql(f"WITH names AS (SELECT unnest({list(FILE_NAMES)}) AS name) {_IDENTITY_SQL}").fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want)

@@ -161,6 +161,31 @@ def test_changes_from_an_older_version_lose_nothing(spark, tmp_path):
     assert len(list((tmp_path / "documents").iterdir())) == s._state()[0] == 6
 
 
+def test_erasing_leaves_nothing_behind(spark, tmp_path):
+    folder = tmp_path / "derived"
+    folder.mkdir()
+    for name in ("a.md", "a.pages.json", "ab.md", "b.md", "b.pdf", "notes.txt"):
+        (folder / name).write_text("x")
+    s = Store(spark, str(tmp_path / "store"))
+    s.put({"documents": docs(spark, ("a", "ready", "1"), ("ab", "ready", "2"), ("b", "ready", "3")), "chunks": chunks(spark, ("a1", "a", "t"), ("b1", "b", "x"))})
+    s.put({"chunks": chunks(spark, ("b2", "b", "y"))})
+
+    def fail():
+        raise RuntimeError("power cut")
+
+    with pytest.raises(RuntimeError, match="power cut"):
+        s.erase(docs(spark, ("a", "", "")), str(folder), fail=fail)
+    assert s.read("chunks").where("doc_id = 'a'").count() == 1 and s.visible("chunks").where("doc_id = 'a'").count() == 0
+    # Another deletion ends the one that broke off; a writer's folder that no version names yet stays.
+    (tmp_path / "store" / "chunks" / "99-underway").mkdir()
+    assert s.erase(docs(spark, ("b", "", "")), str(folder)) == ["b.md", "b.pdf"]
+    assert sorted(p.name for p in folder.iterdir()) == ["ab.md", "notes.txt"]
+    assert [r.doc_id for r in s.read("documents").collect()] == ["ab"] and s.read("chunks").count() == 0
+    assert len(list((tmp_path / "store" / "pointers").glob("v*.json"))) == 1
+    assert len(list((tmp_path / "store" / "documents").iterdir())) == 1 and {p.name for p in (tmp_path / "store" / "chunks").iterdir()} >= {"99-underway"}
+    assert s.sweep() == [] and len(list((tmp_path / "store" / "chunks").iterdir())) == 2
+
+
 def test_repair_at_every_cut():
     text, want = "A [1] b [9] c [12] d [1", "A [1] b  c  d [1"
     for i in range(len(text) + 1):
