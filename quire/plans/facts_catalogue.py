@@ -184,7 +184,7 @@ STATE_OF = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'chunki
     f"""WITH e AS (SELECT user_id AS job, {STATE_OF} AS state, ts AS at_ FROM events),
 o AS (SELECT *, lag(state) OVER w AS before, row_number() OVER (PARTITION BY job ORDER BY at_ DESC, state DESC) AS back FROM e WINDOW w AS (PARTITION BY job ORDER BY at_, state))
 SELECT job, state, at_ AS at FROM o WHERE before IS NULL OR before <> state
-UNION ALL SELECT job, 'failed', make_timestamp(epoch_ms(at_) * 1000 + 600000000) FROM o WHERE back = 1 AND state NOT IN ('ready', 'failed', 'duplicate') AND epoch_ms(at_) + 600000 <= (SELECT epoch_ms(max(at_)) FROM e) - 60000""",
+UNION ALL SELECT job, 'failed', make_timestamp((epoch_us(at_) // 1000) * 1000 + 600000000) FROM o WHERE back = 1 AND state NOT IN ('ready', 'failed', 'duplicate') AND epoch_us(at_) // 1000 + 600000 <= (SELECT epoch_us(max(at_)) // 1000 FROM e) - 60000""",
 )
 def stalled_jobs(spark, d):
     """The changes of state of every job (a user's events) as a stream, and the failures of those that fell silent."""
