@@ -127,3 +127,25 @@ def test_identity_beside_sql(spark):
     rows = spark.createDataFrame([(n,) for n in FILE_NAMES], "name string").withColumn("i", identity(F.col("name"))).select("name", "i.doc_id", "i.title", "i.policy_family", "i.year", "i.circular").collect()
     want = duckdb.sql(f"WITH names AS (SELECT unnest({list(FILE_NAMES)}) AS name) {_IDENTITY_SQL}").fetchall()
     assert sorted(map(tuple, rows)) == sorted(want)
+
+
+def test_token_counts_by_words_are_those_of_whole_texts():
+    import random
+
+    import public_tokenizers
+
+    from quire.functions import tokens
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    assert tokens.by_words(spec)
+    count, rng = tokens.Counter(spec), random.Random(5)
+    some = ["loan", "Bank's", "<|endoftext|>", "<|ENDOFTEXT|>x", "́a", "á", "!\x1c!", "12.5", " x", "ΣΑΣ", " ", "\n\n", "\t", "  ", "x" * 80, "ﬁ", "日本"]
+    texts = ["", *("".join(rng.choice([*some, " "]) for _ in range(rng.randrange(1, 40))) for _ in range(600))]
+    asked: list[str] = []
+    whole, count.whole = count.whole, lambda words: asked.extend(words) or whole(words)
+    assert count(texts) == whole(texts)
+    asked.clear()
+    assert count(["loan 12.5 loan\nBank's"] * 50) == whole(["loan 12.5 loan\nBank's"] * 50) and asked.count("loan") == 0  # kept
+    other = spec.replace('"invert":true', '"invert":false').replace('"invert": true', '"invert": false')
+    assert other != spec and not tokens.by_words(other)
