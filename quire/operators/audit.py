@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,11 +68,13 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Word-level matching ratio of two readings of a page; null unless the first has 60 words and the second any."""
 
     def words(t: str | None) -> list[str]:
-        return "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()
+        return re.findall("[0-9a-z]+", (t or "").lower())
 
     def one(x: str | None, y: str | None) -> float | None:
         theirs, ours = words(x), words(y)
-        return difflib.SequenceMatcher(None, theirs, ours).ratio() if len(theirs) >= 60 and ours else None
+        if len(theirs) < 60 or not ours:
+            return None
+        return 1.0 if theirs == ours else difflib.SequenceMatcher(None, theirs, ours).ratio()
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -328,7 +328,8 @@ def prior_agreement(spark, d):
     """Agreement of a document with the next one of its source."""
     docs = t(spark, d, "documents")
     after = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select("doc_id", "text", after.alias("after")).select("doc_id", F.round(audit.agreement("text", "after"), 6).alias("agreement"))
+    pairs = docs.select("doc_id", "text", after.alias("after")).repartition("doc_id")  # a few sources hold all documents: pairs are dealt again
+    return pairs.select("doc_id", F.round(audit.agreement("text", "after"), 6).alias("agreement"))
 
 
 # Retrieval ----------------------------------------------------------------------------------------------------------

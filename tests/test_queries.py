@@ -65,3 +65,10 @@ def test_library_stands_without_the_pipeline_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op1_') for n in q), len(e.oracle_sql()) > 40)"], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(OWN)), "False", "False", "True"], said.stderr
+
+
+def test_agreement_is_not_computed_by_source(spark):
+    """Few sources hold all documents, so the pairs of a source are dealt again before they are compared."""
+    plan = entry.queries()["prior_agreement"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    compared, dealt = plan.index("ArrowEvalPython"), plan.index("hashpartitioning(doc_id")
+    assert compared < dealt < plan.index("hashpartitioning(source")
