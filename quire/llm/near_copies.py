@@ -1,11 +1,12 @@
 """Near copies: word shingles of five words with a Jaccard likeness of 0.8 or more, checked exactly.
 
-Links at this likeness differ in some 15 % of a SimHash's bits (27 degrees), so of 64 bits in 10 or more: a pigeonring
-index would have to take segments of four bits as keys, which is no index. Candidates therefore share one of 21 keys of a
-text: six of the 128 bins of a one-permutation MinHash, eight bits each. A pair of likeness 0.8 shares a key with a chance
-of 0.998, one of 0.9 all but always. SimHash prunes them: of 256 bits over the same shingles at most ``MOST`` may differ
-(four standard deviations beyond the mean at 0.8; small sets, whose bits are too few votes, are not pruned), before the
-shingle sets are compared.
+Each text has a SimHash of 64 bits over its shingles, and the pigeonring index of ``simhash.links`` finds what differs in
+two bits or fewer: the texts of one class of it are candidates of each other. Links at a likeness of 0.8 differ in some 15 %
+of a SimHash's bits (27 degrees), so of 64 in 10 or more: a pigeonring index for these would have to take segments of four
+bits as keys, which is no index. Beside the class, a text therefore has 21 keys, six of the 128 bins of a one-permutation
+MinHash, eight bits each. A pair of likeness 0.8 shares a key with a chance of 0.998, one of 0.9 all but always. SimHash
+prunes all candidates: of 256 bits over the same shingles at most ``MOST`` may differ (four standard deviations beyond the
+mean at 0.8; small sets, whose bits are too few votes, are not pruned), before the shingle sets are compared.
 
 Every candidate pair that can change a group is checked: first each text with one text of each of its keys, then with a
 second one that the first left apart, then, under keys whose texts are still in several groups, each pair of different
@@ -54,7 +55,8 @@ def digests(sets: list[np.ndarray]) -> list[int]:
 
 
 def keyed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, digest, node, keys): the text's hash, the digest of its shingle set and its keys, none for a text without words."""
+    """(doc_id, digest, node, fp, keys): the text's hash, the digest of its shingle set, the set's SimHash of 64 bits and its
+    keys, none for a text without words."""
 
     def run(x: dict[str, list]) -> dict:
         low, some = minhash.sketch([(t or "").encode("utf-8", "replace") for t in x["text"]], BINS, BITS, width)
@@ -62,10 +64,12 @@ def keyed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         bands[:, :, :ROWS] = low[:, : KEYS * ROWS].reshape(-1, KEYS, ROWS)
         bands[:, :, 7] = np.arange(KEYS)  # keys of different bins differ
         keys = bands.view(np.int64)[:, :, 0]
-        return {"doc_id": x["doc_id"], "digest": x["digest"], "node": digests(shingle_sets(x["text"], width)), "keys": [k if ok else [] for k, ok in zip(keys, some)]}
+        sets = shingle_sets(x["text"], width)
+        fp = simhash.wide(sets, 1).view(np.int64)[:, 0]
+        return {"doc_id": x["doc_id"], "digest": x["digest"], "node": digests(sets), "fp": fp, "keys": [k if ok else [] for k, ok in zip(keys, some)]}
 
     some = docs.select("doc_id", "text").withColumn("digest", text_digest())
-    return common.text_map(some, ["doc_id", "digest", "text"], run, "doc_id long, digest long, node long, keys array<long>")
+    return common.text_map(some, ["doc_id", "digest", "text"], run, "doc_id long, digest long, node long, fp long, keys array<long>")
 
 
 def text_digest() -> Column:
@@ -112,9 +116,18 @@ def starred(told: DataFrame, hub: Column, sets: DataFrame, least: float) -> Data
     return pairs
 
 
+def classed(nodes: DataFrame) -> DataFrame:
+    """(node, keys): the class of a node's SimHash in the pigeonring index is a key more (its last byte tells it from the others)."""
+    prints = common.checkpointed(nodes.where(F.size("keys") > 0).select("fp").distinct())
+    found = common.checkpointed(components(simhash.links(prints)).select(F.col("node").alias("fp"), F.col("component").alias("root")))
+    key = F.coalesce("root", "fp").bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(F.lit(KEYS << 56))
+    keys = F.when(F.size("keys") > 0, F.array_append("keys", key)).otherwise(F.col("keys"))
+    return nodes.join(common.small(found), "fp", "left").select("node", keys.alias("keys"))
+
+
 def groups_of(docs: DataFrame, prints: DataFrame, repeated: bool, least: float = LEAST, width: int = WIDTH) -> DataFrame:
     """(node, component) of the nodes of prints that have a near copy."""
-    nodes = prints.select("node", "keys").dropDuplicates(["node"])
+    nodes = classed(prints.select("node", "fp", "keys").dropDuplicates(["node"]))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     crowd = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = common.checkpointed(keys.join(crowd, "key", "left_semi"))

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.llm import common, compression, html_crf, langid, licenses, line_rules, minhash, near_copies, packing, quality_classifier, sentencepiece_codec, simhash, toxicity
 from quire.llm.graph import components
@@ -426,6 +427,28 @@ def test_near_copies_against_all_pairs(spark, docs, empty):
     assert near_copies.one_of_each(empty).count() == 0
 
 
+def test_near_copies_by_simhash_and_pigeonring(spark):
+    """Where no two texts share a MinHash key, those within two bits of 64 are still found, if they are near copies."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join(words)] + [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in rng.sample(range(1500), 9)] + [" ".join(words[:700]), "some other words of one text", "and other words of one text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_copies.shingle_sets(texts)
+    prints, node = [int(x) for x in simhash.wide(sets, 1)[:, 0]], near_copies.digests(sets)
+    met = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    assert len(met) > 3
+    group = {i: i for i in range(len(texts))}
+    for _ in texts:
+        for i, j in met:
+            group[i] = group[j] = min(group[i], group[j])
+    lone = near_copies.keyed(docs).withColumn("keys", F.array(F.col("node").bitwiseAND(F.lit((1 << 56) - 1))))
+    of = {r.node: r.component for r in near_copies.groups_of(docs, lone, False).collect()}
+    together = lambda f: {(i, j) for i in range(len(texts)) for j in range(i) if f(i) == f(j)}
+    # The class of the index is a candidate's key, so near copies that it holds together are linked, beyond two bits, too.
+    assert together(group.get) <= together(lambda i: of.get(node[i], node[i]))
+    assert all(len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])) for i, j in together(lambda i: of.get(node[i], node[i])))
+
+
 def test_rows_that_share_an_id_stay_unless_near_copies(spark):
     rows = [(1, "a b c d e f g"), (1, "other words that are not like the first at all"), (1, "a b c d e f g"), (None, "a  b c d e f g"), (None, "h i j k l"), (None, "h i j k l"), (2, None), (3, "")]
     got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
