@@ -16,6 +16,9 @@ A passage marked SUPERSEDED is from an older edition: prefer the newer one, and
 Where editions differ, state the current rule first, then the older one.
 Quote the wording of obligations. Be brief and use markdown."""
 
+#: Characters of a passage that its source shows.
+SHOWN = 240
+
 
 def passage_block(n: Column, title: Column, year: Column, superseded: Column, section: Column, page: Column, text: Column) -> Column:
     """One numbered passage: what it is, where it stands, its text."""
@@ -99,7 +102,12 @@ def messages(passages: DataFrame, questions: DataFrame) -> DataFrame:
     return prompts(passages, questions).select("qid", F.lit(RULES).alias("system"), F.col("prompt").alias("user"))
 
 
-def sources(passages: DataFrame, most: int = 240) -> DataFrame:
+def shown_of(text: Column, most: int = SHOWN) -> Column:
+    """As much of a text as ``sources`` needs: it may stand for the text before passages are ranked."""
+    return F.left(text, F.lit(most + 1))
+
+
+def sources(passages: DataFrame, most: int = SHOWN) -> DataFrame:
     """What is shown of each passage: its number, document, section, page, edition, the beginning of its text, its score."""
     shown = F.when(F.length("text") > most, F.concat(F.rtrim(F.left("text", F.lit(most))), F.lit("…"))).otherwise(F.col("text"))
     return passages.select("qid", F.col("place").alias("n"), "doc_id", "title", "section", "page", "year", "superseded", shown.alias("excerpt"), F.round("score", 4).alias("score"))

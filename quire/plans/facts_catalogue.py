@@ -134,7 +134,7 @@ def search_stages(spark, d):
     f"SELECT m.qid, place AS n, m.chunk_id AS doc_id, CASE WHEN length(d.text) > 240 THEN concat(rtrim(left(d.text, 240), ' '), '…') ELSE d.text END AS excerpt, round(score, 4) AS score FROM ({MARKED_SQL}) m JOIN documents d ON d.doc_id = m.chunk_id",
 )
 def answer_sources(spark, d):
-    rows = marked(spark, d).withColumns({"title": F.concat(F.lit("Doc "), F.col("chunk_id").cast("string")), "section": F.col("policy_family"), "page": F.lit(1)})
+    rows = marked(spark, d, answer.SHOWN).withColumns({"title": F.concat(F.lit("Doc "), F.col("chunk_id").cast("string")), "section": F.col("policy_family"), "page": F.lit(1)})
     return answer.sources(rows).select("qid", F.col("n").cast("long").alias("n"), "doc_id", "excerpt", "score")
 
 

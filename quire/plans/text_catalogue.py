@@ -545,8 +545,11 @@ def vintage_marking(spark, d):
     return marked(spark, d).select("qid", "chunk_id", "superseded", F.col("place").cast("long").alias("place"))
 
 
-def marked(spark, d):
-    return retrieve.mark_vintages(retrieve.passages(reranked(spark, d), STRICT), STRICT)
+def marked(spark, d, shown=None):
+    """``shown`` cuts texts, once they are scored, to what sources show, so no more is ranked with them."""
+    found = reranked(spark, d)
+    found = found if shown is None else found.withColumn("text", answer.shown_of(F.col("text"), shown))
+    return retrieve.mark_vintages(retrieve.passages(found, STRICT), STRICT)
 
 
 @query("refusal", f"SELECT b.item_id AS qid, count(m.chunk_id) AS passages, count(DISTINCT m.chunk_id) AS document_count, count(m.chunk_id) = 0 AS refused FROM benchmark b LEFT JOIN ({MARKED_SQL}) m ON m.qid = b.item_id GROUP BY 1")

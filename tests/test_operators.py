@@ -390,3 +390,17 @@ def test_bench_picks_spread_over_documents(spark):
     scored = pages.bench_scores(spark.createDataFrame(rows, "doc string, page int, char_density double, raster_coverage double, raster_dpi double, garble double, kind string, has_full_page_raster boolean, table_score double"))
     picks = {r.category: r.doc for r in pages.bench_picks(scored).collect()}
     assert set(picks) == {"poor_scan", "mixed", "full_scan", "dense_table", "clean_digital"} and picks["poor_scan"] != picks["mixed"] and picks["clean_digital"] == "d2"
+
+
+def test_sources_of_texts_cut_before_they_are_ranked(spark):
+    """What is ranked with a passage is no more of its text than its source shows."""
+    from quire.plans.text_catalogue import marked
+
+    texts = ["", "short ", "é😀 " * 100 + "x", *(("ab " * 90)[:n] for n in (239, 240, 241, 242))]
+    rows = spark.createDataFrame([(1, i, i, "t", "s", 1, 2024, False, text, 0.5) for i, text in enumerate(texts)], "qid int, place int, doc_id int, title string, section string, page int, year int, superseded boolean, text string, score double")
+    shown = lambda df: sorted((r.n, r.excerpt) for r in answer.sources(df).collect())
+    assert shown(rows.withColumn("text", answer.shown_of(F.col("text")))) == shown(rows)
+    at = "/root/testdata/sf0.001"
+    whole = {(r.qid, r.chunk_id): r.text for r in marked(spark, at).select("qid", "chunk_id", "text").collect()}
+    cut = {(r.qid, r.chunk_id): r.text for r in marked(spark, at, answer.SHOWN).select("qid", "chunk_id", "text").collect()}
+    assert max(map(len, whole.values())) > 241 and cut == {k: t[:241] for k, t in whole.items()}
