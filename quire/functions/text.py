@@ -26,6 +26,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
+def has_words(c: Column, least: int) -> Column:
+    """Whether c has at least so many words; no more of them are read."""
+    word = "[^" + SPACE[1:-1] + "]++"
+    return c.rlike(f"^{SPACE}*+(?:{word}{SPACE}++){{{least - 1}}}{word}") if least > 0 else c.isNotNull()
+
+
 def slug(c: Column) -> Column:
     return trim_chars(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "-")
 
@@ -44,7 +50,9 @@ def sentences(c: Column) -> Column:
 
 
 def overlap_tail(c: Column, budget: int) -> Column:
-    """The last whole sentences within the budget, at least one; the walk stops at the first that does not fit."""
+    """The last whole sentences within the budget, at least one; the walk stops at the first that does not fit.
+
+    Only the end of a text is cut into sentences if the walk stops there, before the first of them, which may be a part."""
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("stop"), F.array().cast("array<string>").alias("taken"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -56,7 +64,16 @@ def overlap_tail(c: Column, budget: int) -> Column:
             F.when(full, acc["taken"]).otherwise(F.concat(F.array(s), acc["taken"])).alias("taken"),
         )
 
-    return F.array_join(F.aggregate(F.reverse(sentences(c)), start, step)["taken"], " ") if budget > 0 else F.lit("")
+    def walk(parts: Column) -> Column:
+        return F.array_join(F.aggregate(F.reverse(parts), start, step)["taken"], " ")
+
+    def stops(parts: Column) -> Column:
+        behind = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.aggregate(behind, F.lit(0), lambda n, s: n + estimate_tokens(s)) > budget
+
+    near = 8 * budget
+    end = once(sentences(F.right(c, F.lit(near))), lambda s: F.when(stops(s), walk(s)).otherwise(walk(sentences(c))))
+    return F.when(F.length(c) <= near, walk(sentences(c))).otherwise(end) if budget > 0 else F.lit("")
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

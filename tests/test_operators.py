@@ -404,3 +404,93 @@ def test_sources_of_texts_cut_before_they_are_ranked(spark):
     whole = {(r.qid, r.chunk_id): r.text for r in marked(spark, at).select("qid", "chunk_id", "text").collect()}
     cut = {(r.qid, r.chunk_id): r.text for r in marked(spark, at, answer.SHOWN).select("qid", "chunk_id", "text").collect()}
     assert max(map(len, whole.values())) > 241 and cut == {k: t[:241] for k, t in whole.items()}
+
+
+# What packing by a tokenizer asks and reads --------------------------------------------------------------------------
+
+
+def test_counts_that_add_up_are_asked_of_what_stands_ahead_only(spark):
+    """A chunk's tokens are those of its whole text, with the tail of the one before, though its blocks are not counted again."""
+    from quire.functions import text as tx
+
+    asked = []
+
+    def count(c):
+        asked.append(str(c))
+        return F.size(tx.words(F.coalesce(c, F.lit(""))))
+
+    count.adds = True
+    rng = random.Random(3)
+    kinds = ["paragraph"] * 30 + ["heading", "table"] * 3
+    rng.shuffle(kinds)
+    rows = [("d", i, k, "| a | b |\n| c | d |" if k == "table" else "Two words" if k == "heading" else SENTENCE * rng.randint(1, 6), 1, int(k == "heading"), "", f"Part {i}") for i, k in enumerate(kinds)]
+    facts = spark.createDataFrame([("d", "T", "f", 2024)], "doc_id string, title string, policy_family string, year int")
+    got = chunking.packed(spark.createDataFrame(rows, BLOCK), facts, Chunking(target_tokens=60, overlap_tokens=40, min_tokens=0, min_words=1), count).collect()
+    assert len(got) > 10 and any(r.kind == "table" for r in got) and max(r.text.count("This sentence") for r in got) > 3
+    assert [r.tokens for r in got] == [len(r.text.split()) for r in got]
+    assert len(asked) == 2 and "tail" in asked[1] and "text" not in asked[1]
+
+
+ODD_LINES = [
+    "HOUSE MANUAL", "## HOUSE MANUAL ##", "Page 12", "Page 13 ", "\xa0 3. Limits", "1. Scope ... 4", "| 2 | Limits | 7 |", "|3.1 Ends|9", "4. Late  12", "", "   ", "x" * 91, "x" * 90, "7", "12 | Page", "***", "CONTENTS", "1. Scope 5", "5. Five\t6\xa0",
+]
+
+
+def test_facts_of_documents_come_of_their_telling_lines(spark):
+    """Furniture and contents of few lines are those of all lines, also with other line ends and an id that stands twice."""
+    from quire.functions import text as tx
+
+    rng = random.Random(11)
+    page = lambda n: f"<!-- page {n} | digital | text layer -->" + "".join(rng.choice(ODD_LINES) + rng.choice(["\n", "\n", "\r\n", "\r", "\x0b", " ", "\x1c"]) for _ in range(rng.randint(0, 12)))
+    rows = [(f"d{i % 25}", "ahead\n" + "".join(page(rng.randint(1, 6)) for _ in range(rng.randint(0, 9)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc string, markdown string")
+    every, told = structure.lines(structure.segments(docs)), structure._telling(docs)
+    plain = [(d, m, re.split(structure.MARKER, t)) for d, t in rows for m in [re.findall(structure.MARKER, t)]]
+    want = sorted((d, int(p[4 * k + 1]), line) for d, m, p in plain for k in range(len(m)) for line in re.split(structure.LINE_END, p[4 * k + 4]))
+    assert sorted((r.doc, r.page, r.line) for r in every.collect()) == want
+    noises: dict = {}
+    for r in structure.furniture(every).collect():
+        noises.setdefault(r.doc, set()).add(r.bare)
+    assert noises and {r.doc: set(r.noises) for r in structure._noises(told).collect()} == noises
+    first: dict = {}
+    for r in sorted(every.collect(), key=lambda r: (r.doc, r.page, r.pos)):
+        m = re.match(structure.NUMBERED, r.line.strip(tx.SPACES).strip("|").strip(tx.SPACES), re.ASCII)
+        title = re.sub(structure.TRAILING_PAGE, "", m[2].strip(tx.SPACES), flags=re.ASCII) if m else ""
+        if m and title != m[2].strip(tx.SPACES) and title.strip(" .…*"):
+            at = first.setdefault((r.doc, m[1]), (r.page, r.pos, set()))
+            at[2].update({title.strip(" .…*")} if at[:2] == (r.page, r.pos) else ())
+    for found in (structure.contents_index(every), structure._contents(told.where("line IS NOT NULL"), "doc", F.col("line"))):
+        index = {(r.doc, r.number): r.title for r in found.collect()}
+        assert index.keys() == first.keys() and all(t in first[k][2] for k, t in index.items())
+
+
+def test_a_pattern_found_at_the_beginning_or_not_at_all(spark):
+    lines = ["1.2 Scope", "  3. x", "x 1. y", "## Two #", "a ## b", "Annexure B - Forms", " * appendix", "the annexure", "**bold**", "x **bold**", "Contents", "* contents *", "1.", "", "12 | Page", "•"]
+    patterns = [structure.NUMBERED, structure.ATX, structure.ANNEXURE, structure.CONTENTS, structure.BOLD]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = df.select(*(F.struct((structure.found(F.col("line"), p) != "").alias("a"), structure.found(F.col("line"), p).alias("g"), F.col("line").rlike(p).alias("b"), F.regexp_extract("line", p, 1).alias("h")).alias(f"p{i}") for i, p in enumerate(patterns))).collect()
+    for r in got:
+        assert all(x.a == x.b and x.g == x.h for x in r)
+
+
+def test_tails_of_long_texts(spark):
+    """The end of a text that is cut alone gives the tail of the whole text."""
+    from quire.functions import text as tx
+
+    rng = random.Random(6)
+    some = ["Yes. ", "A short one! ", SENTENCE, "no end ", "(Why?) ", "\n\n", "\xa0", "W" * 700 + ". ", "Long " * 300 + "end. ", "Ärger. Ösen? "]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+
+    def tail(text, budget):
+        taken, used = [], 0
+        for s in reversed([s for s in (x.strip(tx.SPACES) for x in re.split(r"(?<=[.!?])" + tx.SPACE + r"+(?=[A-Z(\"'“])", text)) if s]):
+            cost = max(1, len(s) // 4)
+            if taken and used + cost > budget:
+                break
+            taken, used = [s, *taken], used + cost
+        return " ".join(taken)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *(tx.overlap_tail(F.col("t"), b).alias(f"b{b}") for b in (5, 40, 120)), *(tx.has_words(F.col("t"), n).alias(f"n{n}") for n in (0, 1, 6)))
+    for r in df.collect():
+        assert [r.b5, r.b40, r.b120] == [tail(r.t, b) for b in (5, 40, 120)]
+        assert [r.n0, r.n1, r.n6] == [len([w for w in re.split(tx.SPACE + "+", r.t) if w]) >= n for n in (0, 1, 6)]
